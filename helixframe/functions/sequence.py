@@ -33,7 +33,11 @@ def drop_other(seq: Column) -> Column:
 def one_hot(seq: Column) -> Column:
     """Four arrays (A, C, G, T) of 0 and 1; N is 0 in all of them."""
     chars = F.split(F.upper(seq), "")
-    return F.array(*[F.transform(chars, lambda c, b=b: (c == b).cast("int")) for b in BASES])
+
+    def channel(base: str) -> Column:
+        return F.transform(chars, lambda c: (c == base).cast("int"))
+
+    return F.array(*map(channel, BASES))
 
 
 def one_hot_decode(code: Column) -> Column:

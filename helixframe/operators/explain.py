@@ -38,7 +38,7 @@ def close_pairs(left: DataFrame, right: DataFrame, l: int, reach: int) -> DataFr
 
 
 def _base_at(p, at, l: int):
-    digit = F.shiftrightunsigned(p, (F.lit(l - 1) - at) * 2).bitwiseAND(F.lit(3))
+    digit = F.call_function("shiftrightunsigned", p, (F.lit(l - 1) - at) * 2).bitwiseAND(F.lit(3))
     return F.element_at(F.array(*[F.lit(b) for b in BASES]), digit.cast("int") + 1)
 
 

@@ -30,7 +30,7 @@ class GkmModel:
     def kernel_params(self) -> dict:
         k = self.kernel
         own = {"L": k.l, "k": k.k, "include_rc": k.include_rc} | ({} if k.d is None else {"d": k.d})
-        return own | ({"gamma": k.gamma} if k.rbf else {}) | ({"M": k.M, "H": k.H} if k.weighted else {})
+        return own | ({"gamma": k.gamma} if k.rbf else {}) | ({"M": k.M, "H": k.H} if k.weighted else {}) | ({} if k.normalize else {"normalize": False})
 
     def lmer_sums(self) -> DataFrame:
         """p, v: coefficients summed over the support vectors' l-mers, each divided by the
