@@ -22,50 +22,60 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import sized, without, worker_cache
 
-FIT_ROWS = 8_000
+FIT_ROWS = 4_000
 PREFIXES = (4, 5)
 LEAST_DOCUMENTS = 5
 CACHED = 500_000
 
 
-def features(words: Counter) -> Counter:
-    out: Counter = Counter(words)
+def feature(name: str) -> int:
+    """Features go by a 32-bit hash, so that the driver holds numbers only."""
+    return xxhash.xxh32_intdigest(name)
+
+
+def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and rates of the text's words and word beginnings."""
+    words = Counter(re.findall(r"\w+", (text or "").lower()))
+    found: Counter = Counter()
     for word, n in words.items():
+        found[feature(word)] += n
         for k in PREFIXES:
             if len(word) > k:
-                out[word[:k] + "*"] += n
-    return out
+                found[feature(word[:k] + "*")] += n
+    names = np.fromiter(found, np.uint32, len(found))
+    return names, np.fromiter(found.values(), np.float32, len(found)) * np.float32(rate(words.total()))
 
 
 def rate(n_words):
     return 100 / (n_words + 20)
 
 
-def fit(samples: list[tuple[Counter, int]], grades: int = 3, rounds: int = 150, sparse: float = 0.001) -> tuple[dict[str, float], list[float]]:
-    """Weights and ascending thresholds, by proximal adaptive gradient steps over all samples."""
-    found = [(features(words), sum(words.values())) for words, _ in samples]
-    spread = Counter(name for names, _ in found for name in names)
-    place = {name: i for i, name in enumerate(sorted(name for name, n in spread.items() if n >= LEAST_DOCUMENTS))}
+def fit(samples: list[tuple[np.ndarray, np.ndarray]], graded: list[int], grades: int = 3, rounds: int = 150, sparse: float = 0.001) -> tuple[dict[int, float], list[float]]:
+    """Weights by feature and ascending thresholds, by proximal adaptive gradient steps over
+    all samples. Features of fewer than LEAST_DOCUMENTS samples are left out."""
+    names, spread = np.unique(np.concatenate([ids for ids, _ in samples]), return_counts=True)
+    names = names[spread >= LEAST_DOCUMENTS]
     row, column, value = [], [], []
-    for i, (names, n) in enumerate(found):
-        for name, count in names.items():
-            if name in place:
-                row.append(i)
-                column.append(place[name])
-                value.append(count * rate(n))
-    row, column, value = np.array(row, int), np.array(column, int), np.array(value)
-    y, m, cuts = np.array([g for _, g in samples]), len(samples), grades - 1
+    for i, (ids, rates) in enumerate(samples):
+        at = np.searchsorted(names, ids).clip(max=max(len(names) - 1, 0))
+        known = names[at] == ids if len(names) else np.zeros(len(ids), bool)
+        column.append(at[known].astype(np.int32))
+        value.append(rates[known])
+        row.append(np.full(int(known.sum()), i, np.int32))
+    row, column, value = np.concatenate(row), np.concatenate(column), np.concatenate(value).astype(float)
+    y, m, cuts = np.array(graded), len(samples), grades - 1
     above = y[:, None] > np.arange(cuts)
     if not above[:, 0].any() or above[:, 0].all():
         return {}, [30.0 + k for k in range(cuts)]
     start = above.mean(0).clip(1e-4, 1 - 1e-4)
     theta = np.log((1 - start) / start)
-    w, seen, seen_theta = np.zeros(len(place)), np.full(len(place), 1e-8), np.full(cuts, 1e-8)
+    w, seen, seen_theta = np.zeros(len(names)), np.full(len(names), 1e-8), np.full(cuts, 1e-8)
     for _ in range(rounds):
         z = np.bincount(row, w[column] * value, m)
         p = 1 / (1 + np.exp(-np.clip(z[:, None] - theta, -30, 30)))
@@ -77,7 +87,7 @@ def fit(samples: list[tuple[Counter, int]], grades: int = 3, rounds: int = 150,
         width = np.maximum(up - low, 1e-9)
         d_up, d_low = up * (1 - up) / width, low * (1 - low) / width
         gradient = -(d_up - d_low) / m
-        g = np.bincount(column, gradient[row] * value, len(place))
+        g = np.bincount(column, gradient[row] * value, len(names))
         seen += g**2
         step = 0.5 / np.sqrt(seen)
         w -= step * g
@@ -86,30 +96,29 @@ def fit(samples: list[tuple[Counter, int]], grades: int = 3, rounds: int = 150,
         seen_theta += g_theta**2
         theta = np.maximum.accumulate(theta - 0.3 / np.sqrt(seen_theta) * g_theta)
         theta += 1e-6 * np.arange(cuts)
-    return {name: float(w[i]) for name, i in place.items() if w[i]}, [float(t) for t in theta]
-
-
-def _words(text: str | None) -> Counter:
-    return Counter(re.findall(r"\w+", (text or "").lower()))
+    return {int(names[i]): float(w[i]) for i in np.flatnonzero(w)}, [float(t) for t in theta]
 
 
-def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[str, float], list[float]]:
+def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> tuple[dict[int, float], list[float]]:
     grade = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 0, 2).otherwise(1)).otherwise(0)
-    chosen = labels.filter("doc_id is not null and toxic is not null").select("doc_id", grade.alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id", "grade").limit(fit_rows)
+    known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(grade).alias("grade"))
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
 
     def count(batches):
         for batch in batches:
-            words = [_words(x.as_py()) for x in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([list(w) for w in words], pa.list_(pa.string())), pa.array([list(w.values()) for w in words], pa.list_(pa.int32()))], names=["grade", "words", "counts"])
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [features(x.as_py()) for x in part.column(2)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([b.tobytes() for _, b in found], pa.binary())], names=["doc_id", "grade", "ids", "rates"])
 
-    rows = docs.select("doc_id", "text").join(sized(chosen, fit_rows), "doc_id").orderBy(F.xxhash64("doc_id")).limit(2 * fit_rows).select("text", "grade")
-    found = rows.mapInArrow(count, "grade int, words array<string>, counts array<int>").toArrow().to_pylist()
-    samples = [(Counter(dict(zip(r["words"], r["counts"], strict=True))), r["grade"]) for r in found]
-    samples.sort(key=lambda s: (s[1], len(s[0]), sorted(s[0].items())[:20]))
-    return fit(samples) if samples else ({}, [30.0, 31.0])
+    rows = docs.select("doc_id", "text").join(sized(chosen, fit_rows), "doc_id").select("doc_id", "grade", "text")
+    rows = rows.mapInArrow(count, "doc_id long, grade int, ids binary, rates binary").groupBy("doc_id").agg(F.max(F.struct("grade", "ids", "rates")).alias("x"))
+    found = rows.select("doc_id", "x.*").toArrow().sort_by("doc_id")
+    samples = [(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.float32)) for a, b in zip(found.column("ids"), found.column("rates"), strict=True)]
+    return fit(samples, found.column("grade").to_pylist()) if samples else ({}, [30.0, 31.0])
 
 
-def _score(rows: DataFrame, text: str, weights: dict[str, float], thresholds: list[float]) -> DataFrame:
+def _score(rows: DataFrame, text: str, weights: dict[int, float], thresholds: list[float]) -> DataFrame:
     """rows with severity, p_toxic and grade."""
     spark = rows.sparkSession
     model = spark.sparkContext.broadcast((weights, thresholds))  # as many weights as the bounded sample has features
@@ -121,7 +130,7 @@ def _score(rows: DataFrame, text: str, weights: dict[str, float], thresholds: li
         cache = worker_cache().setdefault(("toxicity", hash(tuple(sorted(weights.items())))), {})
 
         def own(word: str) -> float:
-            w = weights.get(word, 0.0) + sum(weights.get(word[:k] + "*", 0.0) for k in PREFIXES if len(word) > k)
+            w = weights.get(feature(word), 0.0) + sum(weights.get(feature(word[:k] + "*"), 0.0) for k in PREFIXES if len(word) > k)
             if len(cache) < CACHED:
                 cache[word] = w
             return w
