@@ -43,9 +43,14 @@ def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def worker_cache() -> dict:
-    """A dict that lives as long as the Python worker, across tasks."""
-    return sys.modules.setdefault("_helixframe_worker", types.ModuleType("_helixframe_worker")).__dict__
+def worker_cache(key: tuple, make):
+    """make(), remembered as long as the Python worker lives and asks for the same key: a
+    worker holds what one operator remembers, not what all of a pipeline do."""
+    held = sys.modules.setdefault("_helixframe_worker", types.ModuleType("_helixframe_worker")).__dict__
+    if held.get("key") != key:
+        held.pop("value", None)
+        held["value"], held["key"] = make(), key
+    return held["value"]
 
 
 def without(docs: DataFrame, drop: DataFrame, single: DataFrame) -> DataFrame:

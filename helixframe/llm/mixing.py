@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sized
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEGMENT_BITS = 10
@@ -81,7 +81,7 @@ def queues(docs: DataFrame, weights: int = 3, epochs: int = 3) -> tuple[DataFram
         base.select("queue", "h", "size", F.shiftright("h", shift).alias("segment"))
         .join(segments.select("queue", "segment", "before"), ["queue", "segment"])
         .withColumn("upto", F.col("before") + F.sum("size").over(W.partitionBy("queue", "segment").orderBy("h")))
-        .join(sources.filter("target > 0").select("queue", "rank", "source_size", "target"), "queue")
+        .join(sized(sources.filter("target > 0").select("queue", "rank", "source_size", "target")), "queue")
     )
     finish = materialize(finish.select("queue", "rank", "h", "size", "upto", "source_size", "target"), "mix-finish")
 
@@ -110,7 +110,7 @@ def queues(docs: DataFrame, weights: int = 3, epochs: int = 3) -> tuple[DataFram
     if edge is not None:
         taken = taken | ((F.col("bin") == last) & (at <= F.struct(F.lit(edge["finish"]).alias("finish"), F.lit(edge["rank"]).alias("rank"))))
     cuts = copies.filter(taken).groupBy("queue").agg(*[F.max(F.when(F.col("epoch") == e, F.col("h"))).alias(f"cut_{e}") for e in range(1, epochs + 1)])
-    return base, sources.join(cuts, "queue", "left")
+    return base, sized(materialize(sources.join(cuts, "queue", "left"), "mix-cuts"))
 
 
 def _copies(epochs: int):
@@ -121,7 +121,7 @@ def _copies(epochs: int):
 def mix(docs: DataFrame, weights: int = 3, epochs: int = 3) -> DataFrame:
     """doc_id, size, source_size, target, taken (words the mix takes, repeats counted), copies."""
     base, cuts = queues(docs, weights, epochs)
-    out = base.join(cuts.drop("source"), "queue").withColumn("copies", _copies(epochs))
+    out = base.drop("source").join(cuts, "queue").withColumn("copies", _copies(epochs))
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 

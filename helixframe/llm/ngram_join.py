@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import materialize, sized, without, worker_cache
 
 BLOCK = 256
-CACHED = 500_000
+CACHED = 300_000
 CANDIDATES = 100_000
 
 
@@ -94,7 +94,7 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("sha", pa.string()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches):
-        cache = worker_cache().setdefault("word hashes", {})
+        cache = worker_cache(("word hashes",), dict)
         for batch in batches:
             at = 0
             while at < batch.num_rows:
@@ -209,7 +209,7 @@ def _joined(docs: DataFrame, words: int, threshold: float, rows: int, recall: fl
     texts = texts.join(sized(wanted, CANDIDATES), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("sha") == F.col("s"))).select("id", "copies", "bands", "met", "text")
 
     def to_sets(batches):
-        cache = worker_cache().setdefault("word hashes", {})
+        cache = worker_cache(("word hashes",), dict)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)

@@ -37,7 +37,7 @@ from .common import materialize, worker_cache
 
 #: Fixed value: how byte-level BPE of this kind cuts a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED = 600_000
+CACHED = 300_000
 #: Where a space isn't surely the start of a chunk of its own.
 UNSURE = re.compile(r" [^\S ]|  |[\x1c-\x1f\x85]")
 
@@ -109,10 +109,8 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_i
     """doc_id, piece, start, length, ids_crc32: the first piece takes what is over."""
 
     def cut(batches):
-        cache, name = worker_cache(), _tokenizer_file(path)
-        if ("ids", name) not in cache:
-            cache["ids", name] = load_encoder(name)
-        encode, end = cache["ids", name], np.asarray([end_id], "<u4").tobytes()
+        name = _tokenizer_file(path)
+        encode, end = worker_cache(("ids", name), lambda: load_encoder(name)), np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from .common import worker_cache
 
 MARK = "▁"
-CACHED = 700_000
+CACHED = 400_000
 SUB_BATCH = 1_000_000
 SAMPLES = ("a  b", " a b ", "ﬁ Ａ x", "a\tb\nc")
 
@@ -94,10 +94,8 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 4096) ->
     def run(batches):
         import public_tokenizers
 
-        cache, name = worker_cache(), path or public_tokenizers.path("piece_bpe_32k.model")
-        if ("counts", name) not in cache:
-            cache["counts", name] = load_counter(name)
-        counter = cache["counts", name]
+        name = path or public_tokenizers.path("piece_bpe_32k.model")
+        counter = worker_cache(("counts", name), lambda: load_counter(name))
         for batch in batches:
             counts, some, size, sizes = [], [], 0, []
             for x in batch.column(1):

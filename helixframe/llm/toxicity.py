@@ -31,7 +31,7 @@ from .common import sized, without, worker_cache
 FIT_ROWS = 4_000
 PREFIXES = (4, 5)
 LEAST_DOCUMENTS = 5
-CACHED = 500_000
+CACHED = 300_000
 
 
 def feature(name: str) -> int:
@@ -127,7 +127,7 @@ def _score(rows: DataFrame, text: str, weights: dict[int, float], thresholds: li
 
     def run(batches):
         weights, thresholds = model.value
-        cache = worker_cache().setdefault(("toxicity", hash(tuple(sorted(weights.items())))), {})
+        cache = worker_cache(("toxicity", hash(tuple(sorted(weights.items())))), dict)
 
         def own(word: str) -> float:
             w = weights.get(feature(word), 0.0) + sum(weights.get(feature(word[:k] + "*"), 0.0) for k in PREFIXES if len(word) > k)

@@ -164,5 +164,7 @@ def archived(pages: DataFrame, path: str | None = None, least: int = 1000) -> Da
     page = F.col("metadata.fields")["pageId"].try_cast("long")
     rows = rows.select("capture_id", "n", page.alias("page_id"), F.col("metadata.fields")["payloadLength"].cast("long").alias("declared"), "response")
     answers = rows.filter("response.record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"))
-    rows = rows.join(answers, F.col("response.refers_to") == F.col("refers"), "left").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
+    # a capture that refers to none meets itself, so that such rows aren't one key
+    rows = rows.join(answers, F.coalesce("response.refers_to", "capture_id") == F.col("refers"), "left")
+    rows = rows.withColumn("refers_to", F.when(F.col("response.refers_to").isNotNull(), F.col("refers_to"))).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n").cast("int"))))
     return rows.select("page_id", F.coalesce("response.payload_bytes", "declared").alias("payload_bytes"), "response.payload_digest", "response.record_type", "refers_to", F.col("response.target_uri").alias("url"))
