@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, without
+from .common import materialize, sized, without
 
 BLOCK = 8192
 HOT = 1024
@@ -79,11 +79,14 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and repeated (the row kept has equal rows)."""
     ids = materialize(identities(docs, block), "dedup-ids")
     last = F.max(F.struct("doc_id", "rk"))
-    groups = ids.groupBy("n", "name").agg(last.alias("last"), F.count(F.lit(1)).alias("group_size"))
-    out = ids.join(groups, ["n", "name"])
+    groups = ids.groupBy("n", "name").agg(last.alias("last"), F.count(F.lit(1)).alias("group_size")).filter("group_size > 1")
+    # from a table both sides of the join are plain shuffles, of which Spark can split a large group
+    out = ids.join(sized(materialize(groups, "dedup-groups")), ["n", "name"], "left")
+    alone = F.col("group_size").isNull()
     return out.select(
-        "doc_id", F.col("last.doc_id").alias("keep_id"), "group_size", (F.col("rk") == F.col("last.rk")).alias("kept"), F.col("sha").alias("text_sha256"),
-        ((F.col("rk") != F.col("last.rk")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id"))).alias("repeated"),
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("last.doc_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("rk") == F.col("last.rk"))).alias("kept"), F.col("sha").alias("text_sha256"),
+        (~alone & (F.col("rk") != F.col("last.rk")) & F.col("doc_id").eqNullSafe(F.col("last.doc_id"))).alias("repeated"),
     )
 
 
