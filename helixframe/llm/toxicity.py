@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import sized, without, worker_cache
+from .common import materialize, sized, without, worker_cache
 
 FIT_ROWS = 4_000
 PREFIXES = (4, 5)
@@ -161,5 +161,5 @@ def clean_documents(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS
     """The documents that aren't toxic, with their own columns."""
     rows = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"), "text")
     out = _score(rows, "text", *train(docs, labels, fit_rows))
-    drop = out.filter("p_toxic >= 0.5").select("doc_id", "sha").distinct()
+    drop = materialize(out.filter("p_toxic >= 0.5").select("doc_id", "sha").distinct(), "toxic-drop")
     return without(docs, drop, drop.limit(0))
