@@ -8,7 +8,10 @@ nested row per capture.
 Archives are written by Spark's text writer: a record is a row, and the blank lines that
 end a record are the line separator, so any file system Spark writes to will do, and a
 failed task leaves nothing. They are read as whole files, record by record by their
-Content-Length, so payloads may hold anything; the writer's `files` bounds their size.
+Content-Length, so payloads may hold anything; the writer's `per_file` bounds their size.
+Pages whose payload others share are found from digests alone, and only these keys are
+joined to the pages: by a size-checked broadcast, so payloads aren't shuffled, or beyond
+that by a shuffle that Spark can split where one payload fills much of the table.
 
 Defined results: a null page has an empty payload; payloads of under `least` bytes are
 never revisits; of rows with equal page_id, url and html, so many captures come back; a
@@ -27,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import materialize, shared_dir, sized
 
+PER_FILE = 6_000
 END = "\r\n\r\n"
 
 
@@ -46,27 +50,29 @@ def _record(kind: str, own: Column, block: Column, content: str, *headers: tuple
 
 
 def responders(pages: DataFrame, least: int = 1000) -> DataFrame:
-    """For each payload that several pages share: its digest, size and the page that answers for it."""
+    """For each payload that several pages share: its digest, size, and id and record of the
+    page that answers for it."""
     text = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", F.sha1(text).alias("digest"), F.octet_length(text).alias("n")).filter(F.col("n") >= least)
     groups = rows.groupBy("digest", "n").agg(F.max(F.struct("page_id", "url")).alias("answer"), F.count(F.lit(1)).alias("pages"))
-    return groups.filter("pages > 1").drop("pages")
+    return groups.filter("pages > 1").select("digest", "n", F.col("answer.page_id").alias("answer"), _uri("response", F.col("answer.page_id"), F.col("answer.url"), F.col("digest")).alias("refers"))
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 1000) -> None:
-    """Writes gzip'd archives to the folder `path`: three records per page."""
+def write_warc(pages: DataFrame, path: str, least: int = 1000, per_file: int = PER_FILE) -> None:
+    """Writes gzip'd archives to the folder `path`: three records per page, at most
+    `per_file` records a file."""
     text = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", text.alias("html"), F.sha1(text).alias("digest"), F.octet_length(text).alias("n"))
-    rows = rows.join(responders(pages, least), ["digest", "n"], "left")
-    page, url, digest, answer = F.col("page_id"), F.col("url"), F.col("digest"), F.col("answer")
+    rows = rows.join(sized(materialize(responders(pages, least), "warc-responders")), ["digest", "n"], "left")
+    page, url, digest, refers = F.col("page_id"), F.col("url"), F.col("digest"), F.col("refers")
     target = F.regexp_replace(F.coalesce(url, F.lit("about:blank")), r"[\s\x00-\x1F]", "")
     own, labelled = _uri("response", page, url, digest), F.concat(F.lit("sha1:"), digest)
-    revisits = answer.isNotNull() & ~(answer.page_id.eqNullSafe(page))
+    revisits = refers.isNotNull() & ~F.col("answer").eqNullSafe(page)
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     http = "application/http; msgtype=response"
     response = _record("response", own, F.concat(head, F.col("html")), http, ("WARC-Target-URI", target), ("WARC-Payload-Digest", labelled))
     revisit = _record(
-        "revisit", own, head, http, ("WARC-Target-URI", target), ("WARC-Payload-Digest", labelled), ("WARC-Refers-To", _uri("response", answer.page_id, answer.url, digest)),
+        "revisit", own, head, http, ("WARC-Target-URI", target), ("WARC-Payload-Digest", labelled), ("WARC-Refers-To", refers),
         ("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
     )
     host = F.coalesce(F.regexp_extract(target, r"^\w+://([^/?#]*)", 1), F.lit(""))
@@ -75,7 +81,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 1000) -> None:
     fields = F.concat(F.lit("pageId: "), F.coalesce(page.cast("string"), F.lit("-")), F.lit("\r\npayloadLength: "), F.col("n").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", _uri("metadata", page, url, digest), fields, "application/warc-fields", ("WARC-Target-URI", target), ("WARC-Concurrent-To", own))
     records = rows.select(F.explode(F.array(request, F.when(revisits, revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
 
 
 RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, date string, content_type string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
@@ -163,6 +169,7 @@ def archived(pages: DataFrame, path: str | None = None, least: int = 1000) -> Da
     rows = assemble(read_warc(spark, path)).filter("n > 0")
     page = F.col("metadata.fields")["pageId"].try_cast("long")
     rows = rows.select("capture_id", "n", page.alias("page_id"), F.col("metadata.fields")["payloadLength"].cast("long").alias("declared"), "response")
+    rows = materialize(rows, "warc-captures")  # both sides of the join below, so archives are parsed once
     answers = rows.filter("response.record_type = 'response'").select(F.col("capture_id").alias("refers"), F.col("page_id").alias("refers_to"))
     # a capture that refers to none meets itself, so that such rows aren't one key
     rows = rows.join(answers, F.coalesce("response.refers_to", "capture_id") == F.col("refers"), "left")
