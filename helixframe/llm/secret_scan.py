@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sized
 
 #: The base patterns, with group 2 the whole match and group 3 the value.
 BEFORE = r"\G(?s:(.*?))"
@@ -79,7 +79,8 @@ def scan(docs: DataFrame, copied: int = 3, owner: str = "source", repository: tu
     candidates = rows.filter((F.size("base") > 0) | (F.size("mixed") > 0)).select("rk", "owner", "repository", F.explode(F.concat("base", "mixed")).alias("span"))
     candidates = candidates.withColumn("hash", F.sha2("span.value", 256))
     owned = candidates.select("hash", "owner", "repository").distinct().groupBy("hash").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
-    judged = candidates.join(owned, "hash").select(
+    # from a table both sides of the join are plain shuffles, of which Spark can split a value that is everywhere
+    judged = candidates.join(sized(materialize(owned, "secrets-owned")), "hash").select(
         "rk", "span", ((F.col("owners") == 1) & _random(F.col("span.value"))).alias("live"), (F.col("owners") >= copied).alias("example")
     )
     added = F.when((F.col("span.kind") == 3) & F.col("live"), F.col("span"))
