@@ -2,9 +2,9 @@
 
 import gzip
 import hashlib
-import json
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -250,6 +250,16 @@ def test_warc(spark, tmp_path):
     assert warc.archived(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
+def test_warc_files_are_bounded_and_keys_may_be_shuffled(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i % 5} " * 800) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "sized", lambda df: df)
+    warc.write_warc(pages, str(tmp_path / "w"), per_file=7)
+    counts = [len(list(warc.parse_warc(f.read_bytes()))) for f in (tmp_path / "w").glob("part-*")]
+    assert max(counts) <= 7 and sum(counts) == 180
+    got = warc.archived(pages, str(tmp_path / "a")).collect()
+    assert {(r.page_id, r.refers_to) for r in got} == {(i, 55 + i % 5 if i < 55 else None) for i in range(60)}
+
+
 def test_token_counts(spark):
     import public_tokenizers
     import sentencepiece
@@ -264,9 +274,64 @@ def test_token_counts(spark):
     assert token_counts.token_counts(docs(spark, [])).count() == 0
 
 
+def similar(a, b):
+    return len(a & b) >= 0.8 * len(a | b) - 1e-9
+
+
 def test_pipeline(spark):
+    """Each stage again by brute force: plain loops, all pairs, SQL, the library's ids."""
+    import duckdb
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
+    from helixframe.llm.queries import ORACLE_SQL
 
+    where = "/root/testdata/sf0.001"
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact_dedup", "ngram_join", "mixing", "packing"]
-    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert out.count() > 100 and "sequence_id" in out.columns and json.dumps(out.columns)
+    out = corpus_pipeline.run(spark, where).collect()
+
+    left = {r.doc_id: r for r in spark.read.parquet(f"{where}/documents.parquet").collect()}
+    grade = {r.doc_id: 0 if r.toxic != 1 else 2 - (r.quality != 0) for r in spark.read.parquet(f"{where}/labels.parquet").filter("toxic is not null").collect() if r.doc_id in left}
+    weights, thresholds = toxicity.fit([toxicity.features(left[i].text) for i in sorted(grade)], [grade[i] for i in sorted(grade)])
+    score = {i: sum(weights.get(int(n), 0) * v for n, v in zip(*toxicity.features(r.text), strict=True)) for i, r in left.items()}
+    left = {i: r for i, r in left.items() if score[i] < thresholds[0]}
+
+    last = {left[i].text or "": i for i in sorted(left)}
+    left = {i: left[i] for i in last.values()}
+
+    words = {i: re.findall(r"\w+", (r.text or "").lower()) for i, r in left.items()}
+    grams = {i: {tuple(w[k : k + min(5, len(w))]) for k in range(len(w) - min(5, len(w)) + 1)} for i, w in words.items()}
+    root = {i: i for i in left}
+    for i in sorted(left):
+        for j in sorted(left):
+            if i < j and grams[i] and root[i] != root[j] and similar(grams[i], grams[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {x: low if r == high else r for x, r in root.items()}
+    left = {i: r for i, r in left.items() if root[i] == i}
+
+    con = duckdb.connect()
+    documents = spark.createDataFrame(list(left.values()), spark.read.parquet(f"{where}/documents.parquet").schema).toArrow()
+    con.register("documents", documents)
+    mixed = {r[0]: (r[1], r[4]) for r in con.sql(ORACLE_SQL["op1_mixing"]).fetchall()}
+
+    library, want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), Counter()
+    for i, (size, taken) in mixed.items():
+        ids = [*library.encode(left[i].text or "", add_special_tokens=False).ids, 0]
+        cuts = [0, *range(len(ids) % 2048 or 2048, len(ids) + 1, 2048)]
+        for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if size:
+                want[i, k, lo, hi - lo, zlib.crc32(np.array(ids[lo:hi], "<u4").tobytes())] += taken // size
+    worded = [r for r in out if mixed[r.doc_id][0]]
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in worded) == +want
+
+    sequences = defaultdict(list)
+    for r in out:
+        sequences[r.sequence_id].append((r.offset, r.length))
+    for parts in sequences.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= 2048
+    assert len(sequences) <= 1.02 * sum(r.length for r in out) / 2048 + 2
