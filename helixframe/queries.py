@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,6 +102,15 @@ def one_hot_round_trip(spark, d):
     return code.select("id", S.is_one_hot(F.col("x")).alias("valid"), S.one_hot_decode(F.col("x")).alias("seq"))
 
 
+def code_round_trip(spark, d):
+    return turns(spark, d).select("id", S.decode_codes(S.codes(F.col("seq"))).alias("seq"))
+
+
+def kmer_index_round_trip(spark, d):
+    rows = spark.range(4**K).select(F.col("id").alias("place"), S.kmer_of(F.col("id"), K).alias("kmer"))
+    return rows.select("place", "kmer", S.kmer_index(F.col("kmer")).alias("again"))
+
+
 def center_crop(spark, d):
     return turns(spark, d).select("id", S.center_crop(F.col("seq"), 51).alias("seq"))
 
@@ -214,6 +224,14 @@ def deltasvm_ensemble(spark, d):
     return ensemble([linear(spark, L), linear(spark, L, step=41)]).score(turns(spark, d))
 
 
+def deltasvm_variants(spark, d):
+    return linear(spark, L).score_variants(turns(spark, d), mutated(turns(spark, d)))
+
+
+def score_sum(spark, d):
+    return evaluate.sum_scores([linear(spark, L).score(turns(spark, d)), linear(spark, L, step=41).score(turns(spark, d))])
+
+
 def to_deltasvm(spark, d):
     return r6(model(spark, d).to_deltasvm().weights, "w")
 
@@ -249,6 +267,10 @@ def explain_importance(spark, d):
     return r6(explain(model(spark, d), items(spark, d)), "value")
 
 
+def explain_top_positions(spark, d):
+    return evaluate.top_positions(explain_importance(spark, d), 5)
+
+
 def explain_perturbation(spark, d):
     return r6(explain(model(spark, d), items(spark, d), "perturbation"), "value")
 
@@ -294,6 +316,11 @@ def average_precision(spark, d):
     return r6(evaluate.average_precision(labelled(spark, d)), "average_precision")
 
 
+def variant_evaluation(spark, d):
+    rows = labelled(spark, d).withColumn("score", F.col("score") - 1000).withColumn("significant", F.col("label") == 1)
+    return r6(evaluate.variant_evaluation(rows), "auroc", "average_precision")
+
+
 def pearson_spearman(spark, d):
     return r6(evaluate.correlations(table(spark, d, "lineitem"), "l_quantity", "l_extendedprice"), "pearson", "spearman")
 
@@ -362,7 +389,7 @@ QUERIES = {
         score_linear, score_normalized, score_rbf, deltasvm_score, deltasvm_gapped_score, deltasvm_ensemble, to_deltasvm, to_deltasvm_rbf, variant_delta, mutation_impact_linear,
         mutation_impact_rbf, ism, explain_hypothetical, explain_importance, explain_perturbation, explain_completeness, loci_window, allele_windows, interval_anti_join, chromosome_split,
         gc_bin_counts, gc_bin_match, auroc, average_precision, pearson_spearman, agreement_stats, best_effect, allele_check, longest_prefix, fasta_round_trip, bed_round_trip,
-        model_round_trip, train_svc, train_svr, train_nystrom,
+        model_round_trip, train_svc, train_svr, train_nystrom, code_round_trip, kmer_index_round_trip, deltasvm_variants, score_sum, explain_top_positions, variant_evaluation,
     )
 }
 
@@ -486,6 +513,12 @@ def _explain_sql(mode: str) -> str:
     return _with(*parts) + f"SELECT g.id, CAST(g.pos AS INT) AS pos, substr('ACGT', CAST(g.b AS INT) + 1, 1) AS base, round({value}, 6) AS value FROM grid g LEFT JOIN found USING (id, pos, b)"
 
 
+def _linear_scores(source: str, name: str, weights: str = "lw", k: int = L) -> str:
+    """CTE name(id, score) of sequences `source` by a table of k-mer weights."""
+    places = [" + ".join(f"((p >> {2 * (L - 1 - at)}) & 3) * {4 ** (k - 1 - i)}" for i, at in enumerate(c)) for c in combinations(range(L), k)]
+    return f"{name} AS (SELECT s.id, coalesce(f, 0) + 0.5 AS score FROM {source} s LEFT JOIN (SELECT id, sum(w) AS f FROM (SELECT id, unnest([{', '.join(places)}]) AS p FROM {source}_s) JOIN {weights} USING (p) GROUP BY id) USING (id))"
+
+
 _STRANDS = "{0}_s AS (SELECT * FROM {0}_w UNION ALL SELECT * FROM {0}_r)"
 _WINDOW_OF = "SELECT o_orderkey, CAST(o_orderkey % 997 AS VARCHAR) AS chrom, o_custkey AS start FROM orders"
 
@@ -493,6 +526,8 @@ ORACLE_SQL = {
     "seq_encode": _with(f"documents_ AS ({_FROM['documents']})") + "SELECT id, CAST(length(seq) AS INT) AS n, md5(translate(seq, 'ACGT', '0123')) AS codes FROM documents_",
     "reverse_complement": _with(f"documents_ AS ({_FROM['documents']})") + f"SELECT id, {_RC} AS rc FROM documents_",
     "one_hot_round_trip": _with(f"documents_ AS ({_FROM['documents']})") + "SELECT id, TRUE AS valid, seq FROM documents_",
+    "code_round_trip": _with(f"turns AS ({_FROM['turns']})") + "SELECT id, seq FROM turns",
+    "kmer_index_round_trip": "SELECT range AS place, " + " || ".join(f"substr('ACGT', CAST((range >> {2 * (K - 1 - i)}) & 3 AS INT) + 1, 1)" for i in range(K)) + f" AS kmer, range AS again FROM range({4**K})",
     "center_crop": _with(f"turns AS ({_FROM['turns']})") + "SELECT id, CASE WHEN length(seq) >= 51 THEN substr(seq, (length(seq) - 51) // 2 + 1, 51) END AS seq FROM turns",
     "window_explode": _with(*_tables(PLAIN, "turns")) + "SELECT id, count(*) AS n, CAST(sum(pos * p) AS BIGINT) AS total FROM turns_w GROUP BY id",
     "lmer_count": _with(*_tables(PLAIN, "turns")) + "SELECT * FROM turns_b",
@@ -519,6 +554,11 @@ ORACLE_SQL = {
     + "SELECT s.id, coalesce(f, 0) + 0.5 AS score FROM docs s LEFT JOIN (SELECT id, sum(n * w) AS f FROM (SELECT id, p, count(*) AS n FROM docs_s GROUP BY id, p) JOIN lw USING (p) GROUP BY id) USING (id)",
     "deltasvm_ensemble": _with(f"turns AS ({_FROM['turns']})", _windows("turns", "turns", PLAIN), _STRANDS.format("turns"), _linear_cte(L), _linear_cte(L, 41, "lx"))
     + "SELECT s.id, coalesce(f, 0) + 0.5 AS score FROM turns s LEFT JOIN (SELECT id, sum((lw.w + lx.w) / 2) AS f FROM turns_s JOIN lw USING (p) JOIN lx USING (p) GROUP BY id) USING (id)",
+    "deltasvm_gapped_score": _with(*_tables(PLAIN, "turns"), _STRANDS.format("turns"), _linear_cte(K), _linear_scores("turns", "f", k=K)) + "SELECT id, score FROM f",
+    "deltasvm_variants": _with(*_tables(PLAIN, "turns"), f"alt AS ({_MUTATED.format('turns')})", _windows("alt", "alt", PLAIN), _STRANDS.format("turns"), _STRANDS.format("alt"), _linear_cte(L), _linear_scores("turns", "f"), _linear_scores("alt", "g"))
+    + "SELECT id, g.score - f.score AS score FROM f JOIN g USING (id)",
+    "score_sum": _with(*_tables(PLAIN, "turns"), _STRANDS.format("turns"), _linear_cte(L), _linear_cte(L, 41, "lx"), _linear_scores("turns", "f"), _linear_scores("turns", "g", "lx"))
+    + "SELECT id, f.score + g.score AS score FROM f JOIN g USING (id)",
     "to_deltasvm": _with(*_tables(PLAIN, "items"), _SV, _vector_sums(PLAIN), _lmer_weights(PLAIN))
     + "SELECT " + " || ".join(f"substr('ACGT', CAST((every.p >> {2 * (L - 1 - i)}) & 3 AS INT) + 1, 1)" for i in range(L)) + " AS kmer, round(coalesce(w, 0), 6) AS w FROM every LEFT JOIN w USING (p)",
     "variant_delta": _with(*_tables(PLAIN, "items"), _SV, _vector_sums(PLAIN), _lmer_weights(PLAIN), f"turns AS ({_FROM['turns']})", _windows("turns", "turns", PLAIN), f"alt AS ({_MUTATED.format('turns')})", _windows("alt", "alt", PLAIN))
@@ -530,6 +570,8 @@ ORACLE_SQL = {
     "explain_hypothetical": _explain_sql("hypothetical"),
     "explain_importance": _explain_sql("importance"),
     "explain_perturbation": _explain_sql("perturbation"),
+    "explain_top_positions": f"SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY abs(value) DESC, pos, base) AS INT) AS rank FROM ({_explain_sql('importance')}) x QUALIFY rank <= 5",
+    "variant_evaluation": "WITH s AS (SELECT abs(n_chars - 1000) AS s, quality AS y FROM labels JOIN documents USING (doc_id)), t AS (SELECT s, sum(y) AS pos, count(*) AS n FROM s GROUP BY s), c AS (SELECT pos, sum(pos) OVER (ORDER BY s DESC) / sum(n) OVER (ORDER BY s DESC) AS precision FROM t) SELECT (SELECT round(sum(CASE WHEN a.s > b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0 END) / count(*), 6) FROM s a, s b WHERE a.y = 1 AND b.y = 0) AS auroc, round(CAST(sum(pos * precision) / sum(pos) AS DOUBLE), 6) AS average_precision FROM c",
     "loci_window": f"WITH g AS ({_FROM['documents']}), p AS ({_WINDOW_OF}) SELECT o_orderkey, start + 10 - 15 AS win_start, CASE WHEN start - 5 >= 0 AND start + 25 <= length(seq) THEN substr(seq, CAST(start - 4 AS INT), 30) END AS seq, coalesce(start - 5 >= 0 AND start + 25 <= length(seq), FALSE) AS kept FROM p LEFT JOIN g ON CAST(g.id AS VARCHAR) = chrom",
     "allele_windows": f"WITH g AS ({_FROM['documents']}), p AS ({_WINDOW_OF}), s AS (SELECT o_orderkey, CASE WHEN start - 10 >= 0 AND start + 11 <= length(seq) THEN substr(seq, CAST(start - 9 AS INT), 21) END AS s FROM p LEFT JOIN g ON CAST(g.id AS VARCHAR) = chrom) SELECT o_orderkey, substr(s, 1, 10) || 'A' || substr(s, 12) AS ref_seq, substr(s, 1, 10) || 'G' || substr(s, 12) AS alt_seq FROM s",
     "interval_anti_join": "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM supplier WHERE (CASE WHEN s_nationkey < 12 THEN 'F' ELSE 'O' END) = o_orderstatus AND s_suppkey * 900 < o_orderkey * 10 + 7 AND s_suppkey * 900 + 250 > o_orderkey * 10)",
