@@ -4,10 +4,12 @@ Documents are cut into pieces of at most `capacity` tokens. Only the histogram o
 lengths (at most `capacity` numbers, however large the corpus) comes to the driver, where
 the configuration LP - as few bins as possible, each a multiset of lengths that fits - is
 solved by multiplicative weights: lengths have prices, an unbounded knapsack over the
-capacity finds the configuration worth most, it is used as far as its scarcest length
-allows, and the prices of what it covers fall. The solution is rounded down, and what is
-left is packed best-fit on the histogram. Configurations are then dealt to the pieces by
-their place among the pieces of their length, without moving the documents.
+capacity finds the configurations worth most or nearly so, each is used for a part of its
+scarcest length, and the prices of what is covered fall, until every length is covered. The
+solution is rounded down, configurations get one bin more by their fractions while pieces
+last, and only what rounding leaves is packed best-fit on the histogram. Configurations are
+then dealt to the pieces by their place among the pieces of their length, without moving the
+documents.
 
 Ids are those of the `tokenizers` file given. Byte-level BPE whose merges are in the order
 of their ids is equal to BPE by rank, which is checked when the file is loaded; the ids are
@@ -38,6 +40,9 @@ from .common import materialize, worker_cache
 #: Fixed value: how byte-level BPE of this kind cuts a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED = 300_000
+#: Part of a length that a round may cover, fall of the prices, share of the best worth: from coarse to fine.
+LEVELS = ((1 / 8, 0.5, 0.97), (1 / 16, 8.0, 0.97), (1 / 32, 16.0, 0.99))
+CLOSE = 0.001
 #: Where a space isn't surely the start of a chunk of its own.
 UNSURE = re.compile(r" [^\S ]|  |[\x1c-\x1f\x85]")
 
@@ -127,52 +132,92 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_i
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def best_configuration(price: np.ndarray, lengths: np.ndarray, capacity: int) -> Counter:
-    """Unbounded knapsack: the multiset of lengths that fits and is worth most."""
+def near_best(price: np.ndarray, lengths: np.ndarray, capacity: int, share: float) -> list[tuple[tuple[int, int], ...]]:
+    """Unbounded knapsack: for each length the fitting multiset worth most among those that
+    hold it, if worth `share` of the best at least; worth most first."""
     best, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    ends = np.searchsorted(lengths, np.arange(capacity + 1), "right")
     for c in range(1, capacity + 1):
-        k = np.searchsorted(lengths, c, "right")
         best[c] = best[c - 1]
-        if k:
+        if k := ends[c]:
             worth = price[:k] + best[c - lengths[:k]]
-            i = int(np.argmax(worth))
+            i = int(worth.argmax())
             if worth[i] > best[c]:
                 best[c], last[c] = worth[i], i
-    found: Counter = Counter()
-    c = capacity
-    while c > 0:
-        if last[c] < 0:
-            c -= 1
-        else:
-            found[int(last[c])] += 1
-            c -= int(lengths[last[c]])
-    return found
-
-
-def configurations(histogram: dict[int, int], capacity: int, rounds: int = 120, step: float = 0.5) -> list[tuple[dict[int, int], int]]:
-    """[(length -> copies, bins)], covering the histogram exactly."""
+    filled = np.maximum.accumulate(np.where(last >= 0, np.arange(capacity + 1), 0))
+    value = price + best[capacity - lengths]
+    first = np.flatnonzero(value >= share * best[capacity])
+    found = [[int(i)] for i in first]
+    room = filled[capacity - lengths[first]]
+    live = np.flatnonzero(room > 0)
+    while len(live):
+        item = last[room[live]]
+        for x, i in zip(live.tolist(), item.tolist(), strict=True):
+            found[x].append(i)
+        room[live] = filled[room[live] - lengths[item]]
+        live = live[room[live] > 0]
+    made = {tuple(sorted(Counter(x).items())): v for x, v in zip(found, value[first].tolist(), strict=True)}
+    return sorted(made, key=lambda c: (-made[c], c))
+
+
+def cover(need: np.ndarray, lengths: np.ndarray, capacity: int, part: float, step: float, share: float) -> dict[tuple[tuple[int, int], ...], float]:
+    """Configuration -> bins, a fractional cover of every length, exactly as often as needed.
+    A round covers at most `part` of a length's need; lengths leave when they are covered."""
+    rest, price, used = need.copy(), lengths / capacity, defaultdict(float)
+    while len(live := np.flatnonzero(rest > 1e-9 * need)):
+        ids = live.tolist()
+        full = np.minimum(rest, need * part)[live]
+        limit = full.tolist()
+        for n, found in enumerate(near_best(price[live], lengths[live], capacity, share)):
+            bins = min(limit[i] / a for i, a in found)
+            # those that others of the round have left little for would be slivers
+            if bins > 0 and (n == 0 or bins >= min(full[i] / a for i, a in found) / 2):
+                used[tuple((ids[i], a) for i, a in found)] += bins
+                for i, a in found:
+                    limit[i] -= bins * a
+        covered = np.zeros(len(need))
+        covered[live] = full - limit
+        rest -= covered
+        price = price * np.exp(-step * covered / need)
+    return used
+
+
+def programme(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[dict[int, int], int]], dict[int, int]]:
+    """[(length -> copies, bins)] of the linear programme in whole bins, and the pieces that
+    rounding leaves over. Steps get finer until the programme is CLOSE to the tokens' bound."""
     left = {length: n for length, n in histogram.items() if n > 0}
     out = [({length: 1}, left.pop(length)) for length in list(left) if length == capacity]
+    if not left:
+        return out, left
     lengths = np.array(sorted(left), dtype=np.int64)
-    if len(lengths):
-        need = np.array([left[int(x)] for x in lengths], dtype=float)
-        price, covered, used = lengths / capacity, np.zeros(len(lengths)), defaultdict(float)
-        for _ in range(rounds):
-            found = best_configuration(price, lengths, capacity)
-            if not found:
-                break
-            bins = min(need[i] / a for i, a in found.items()) / 8
-            used[tuple(sorted(found.items()))] += bins
-            for i, a in found.items():
-                covered[i] += bins * a
-                price[i] *= np.exp(-step * bins * a / need[i])
-        scale = max(1.0, float((covered / need).max())) if rounds else 1.0
-        for key, bins in sorted(used.items(), key=lambda x: (-x[1], x[0])):
-            whole = int(min([bins / scale] + [left[int(lengths[i])] // a for i, a in key]))
-            if whole:
-                out.append(({int(lengths[i]): a for i, a in key}, whole))
-                for i, a in key:
-                    left[int(lengths[i])] -= whole * a
+    need = np.array([left[int(x)] for x in lengths], dtype=float)
+    used: dict = {}
+    for level in LEVELS:
+        found = cover(need, lengths, capacity, *level)
+        if not used or sum(found.values()) < sum(used.values()):
+            used = found
+        if sum(used.values()) <= (1 + CLOSE) * float(need @ lengths) / capacity:
+            break
+    whole: Counter = Counter()
+    rest = need.astype(np.int64).tolist()
+
+    def take(key, bins: int) -> None:
+        if bins := min([bins] + [rest[i] // a for i, a in key]):
+            whole[key] += bins
+            for i, a in key:
+                rest[i] -= bins * a
+
+    for key, bins in sorted(used.items(), key=lambda x: (-x[1], x[0])):
+        take(key, int(bins + 1e-6))
+    for key, _ in sorted(used.items(), key=lambda x: (-(x[1] % 1), x[0])):
+        take(key, 1)
+    out += [({int(lengths[i]): a for i, a in key}, bins) for key, bins in whole.items()]
+    return out, {int(x): n for x, n in zip(lengths, rest, strict=True) if n}
+
+
+def configurations(histogram: dict[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """[(length -> copies, bins)], covering the histogram exactly."""
+    out, left = programme(histogram, capacity)
     return out + best_fit(left, capacity)
 
 
@@ -222,18 +267,18 @@ def _slots(plan: list[tuple[dict[int, int], int]], capacity: int) -> dict[int, t
     return {length: tuple(np.array(c, dtype=np.int64) for c in zip(*r, strict=True)) for length, r in rows.items()}
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0, rounds: int = 120) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     cut = materialize(pieces(docs, path, capacity, end_id), "pack-pieces")
     salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(64))
     parts = cut.groupBy("length", salt.alias("salt")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 64 * capacity rows
     histogram: Counter = Counter()
-    before = {}
+    before = np.zeros((capacity + 1, 64), np.int64)
     for r in sorted(parts, key=lambda r: (r["length"], r["salt"])):
         before[r["length"], r["salt"]] = histogram[r["length"]]
         histogram[r["length"]] += r["n"]
-    slots = spark.sparkContext.broadcast((_slots(configurations(histogram, capacity, rounds), capacity), before))  # bounded by the capacity
+    slots = spark.sparkContext.broadcast((_slots(configurations(histogram, capacity), capacity), before))  # bounded by the capacity
     by = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut.withColumn("salt", salt).withColumn("place", F.row_number().over(by) - F.lit(1))
     schema = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -242,7 +287,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
         table, start = slots.value
         for batch in batches:
             length, group, place = (batch.column(i).to_numpy() for i in (3, 5, 6))
-            place = place + np.array([start[x] for x in zip(length.tolist(), group.tolist(), strict=True)], dtype=np.int64)
+            place = place + start[length, group]
             sequence, offset = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
             for x in np.unique(length):
                 rows = np.flatnonzero(length == x)

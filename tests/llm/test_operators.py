@@ -119,6 +119,22 @@ def test_configurations_cover():
     assert sum(b for _, b in plan) <= 1.01 * sum(b for _, b in packing.best_fit(dict(histogram), 128))
 
 
+def test_the_programme_places_a_wide_histogram(monkeypatch):
+    """Best fit gets the rounding's residue only, and more bins than best fit's own aren't needed."""
+    draw, own, left = np.random.default_rng(6), packing.best_fit, Counter()
+    histogram = Counter(draw.lognormal(4.2, 1.0, 100_000).clip(1, 511).astype(int).tolist()) + Counter({5: 30_000, 175: 20_000, 375: 15_000})
+    fewest = sum(b for _, b in own(dict(histogram), 512))
+    monkeypatch.setattr(packing, "best_fit", lambda rest, capacity: left.update(rest) or own(rest, capacity))
+    plan, made = packing.configurations(dict(histogram), 512), Counter()
+    for config, bins in plan:
+        assert sum(n * c for n, c in config.items()) <= 512
+        made.update({n: c * bins for n, c in config.items()})
+    assert made == histogram
+    assert left.total() <= 0.02 * histogram.total()
+    assert sum(n * c for n, c in left.items()) <= 0.02 * sum(n * c for n, c in histogram.items())
+    assert sum(b for _, b in plan) <= 1.005 * fewest
+
+
 def test_nearest_neighbours(spark):
     draw = np.random.default_rng(1)
     points = draw.normal(size=(900, 8))
