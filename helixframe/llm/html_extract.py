@@ -4,9 +4,11 @@ Each text node has a tag path, the names of the elements from the root to it. Ov
 text length, punctuation and nodes are summed by tag path; a path's text ratio (length per
 node) and punctuation ratio (marks per node) are smoothed over the nodes in page order and
 fused by product, and the nodes above a share of the mean are content. The article is the
-smallest structural element that holds all content nodes; all of its text outside menus,
-headers, footers, sidebars, notices, adverts, forms and comments is kept, so short lines of
-an article aren't lost to the threshold.
+article element that holds all content nodes, or else the smallest structural element that
+does; all of its text outside menus, headers, footers, sidebars, notices, adverts, forms and
+comments is kept, so short lines of an article aren't lost to the threshold. An element goes
+by its class, id or role only if a whole name is on the list and the page's article, or most
+of its text, isn't in it.
 
 Defined results: a null or empty page gives an empty text; a page without markup is one
 block; unclosed and misnested tags are closed as their parents end; nothing is cut, however
@@ -38,19 +40,33 @@ CLOSES = {x: frozenset(y.split()) for x, y in {"li": "li", "dt": "dt dd", "dd":
 SCOPES = frozenset("ul ol dl table select article section div body main td th".split())
 
 
-def _boilerplate(name: str, attributes: str, inside: bool) -> bool:
-    if name in HIDDEN or name == "header" and not inside:
-        return True
-    if name in ("body", "html", "article", "main"):
-        return False
-    for m in ATTRIBUTE.finditer(attributes):
-        if not BOILERPLATE.isdisjoint(re.split(r"[^a-z]+", (m[2] or m[3] or m[4] or "").lower())):
-            return True
-    return False
+def _words(attributes: str, split: str = r"\s+") -> bool:
+    """Whether a class, id or role has one of the words."""
+    return any(not BOILERPLATE.isdisjoint(re.split(split, (m[2] or m[3] or m[4] or "").lower())) for m in ATTRIBUTE.finditer(attributes))
+
+
+def _without_marked(nodes: list, marked: set[int], articles: set[int]) -> list:
+    """The nodes outside marked elements. An element stays that holds more of the articles'
+    text than is outside all marked ones, or most of the page's text if hardly any is there."""
+    if not marked:
+        return nodes
+    outside, total, size, own = 0, 0, defaultdict(int), defaultdict(int)
+    for _, _, ids, s in nodes:
+        n = len(s.strip())
+        within, article = marked.intersection(ids), not articles.isdisjoint(ids)
+        total += n
+        outside += n if article and not within else 0
+        for k in within:
+            size[k] += n
+            own[k] += n if article else 0
+    kept = {k for k in marked if own[k] > outside or 2 * size[k] > total and 10 * outside < size[k]}
+    return [n for n in nodes if (marked - kept).isdisjoint(n[2])]
 
 
 def _nodes(page: str) -> list[tuple[int, tuple[str, ...], tuple[int, ...], str]]:
     """(block, tag path, elements by number, text) of each text node outside boilerplate."""
+    marked: set[int] = set()
+    articles: set[int] = set()
     out, names, ids, hidden = [], [], [], 0
     flags: list[bool] = []
     block, number, at = 0, 0, 0
@@ -105,8 +121,13 @@ def _nodes(page: str) -> list[tuple[int, tuple[str, ...], tuple[int, ...], str]]
         if name in VOID or (m[3] or m[6] or "").endswith("/") and name not in BLOCK and name not in RAW:
             continue
         inside = any(x in ("article", "main") for x in names)
-        out_of = _boilerplate(name, m[3] or m[6] or "", inside)
+        out_of = name in HIDDEN or name == "header" and not inside
         number += 1
+        if name in ("article", "main"):
+            if not _words(m[3] or m[6] or "", r"[^a-z]+"):  # those of comments, say, aren't the page's
+                articles.add(number)
+        elif name not in ("body", "html") and _words(m[3] or m[6] or ""):
+            marked.add(number)
         names.append(name)
         ids.append(number)
         flags.append(out_of)
@@ -117,7 +138,7 @@ def _nodes(page: str) -> list[tuple[int, tuple[str, ...], tuple[int, ...], str]]
             at = end.end()
             pop(len(names) - 1)
     text(page[at:])
-    return out
+    return _without_marked(out, marked, articles)
 
 
 def content_nodes(nodes: list, smooth: tuple[float, ...] = (0.25, 0.5, 0.25), share: float = 0.3) -> list[int]:
@@ -144,14 +165,11 @@ def main_text(page: str | None) -> str:
     chosen = content_nodes(nodes)
     if not chosen:
         return ""
-    within = next((k for name in ("article", "main") for i in chosen for x, k in zip(nodes[i][1], nodes[i][2], strict=True) if x == name), None)
-    articles = {k for i in chosen for x, k in zip(nodes[i][1], nodes[i][2], strict=True) if x == "article"}
-    if within is None or len(articles) > 1:
-        common = list(zip(nodes[chosen[0]][1], nodes[chosen[0]][2], strict=True))
-        for i in chosen[1:]:
-            other = set(nodes[i][2])
-            common = [(x, k) for x, k in common if k in other]
-        within = next((k for x, k in reversed(common) if x in STRUCTURAL), None)
+    shared = set(nodes[chosen[0]][2]).intersection(*(nodes[i][2] for i in chosen))
+    names = ("article",) if any("article" in nodes[i][1] for i in chosen) else ("main",)
+    within = next((k for x, k in zip(nodes[chosen[0]][1], nodes[chosen[0]][2], strict=True) if x in names and k in shared), None)
+    if within is None:
+        within = next((k for x, k in reversed(list(zip(nodes[chosen[0]][1], nodes[chosen[0]][2], strict=True))) if x in STRUCTURAL and k in shared), None)
     blocks: dict[int, list[str]] = defaultdict(list)
     for block, _, ids, s in nodes:
         if within is None or within in ids:

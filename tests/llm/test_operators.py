@@ -75,6 +75,18 @@ def test_html():
     assert html_extract.main_text("<p>" * 3000 + "deep, text.") == "deep, text."
 
 
+def test_html_keeps_articles_in_wrappers():
+    story = "<h1>Head</h1><p>One sentence, with marks. Another one, too.</p><p>And a second, longer paragraph of text.</p>"
+    want = "Head\nOne sentence, with marks. Another one, too.\nAnd a second, longer paragraph of text."
+    for name in ("content has-sidebar", "no-sidebar", "menu-open", "no-comments", "sidebar"):
+        assert html_extract.main_text(f"<body><div class='{name}'><article>{story}</article></div></body>") == want
+        assert html_extract.main_text(f"<body><div class='{name}'><div>{story}</div></div><p>x</p></body>").startswith(want)
+    comments = "<div id=comments><article class=comment-body><p>" + "Nice, really nice. " * 40 + "</p></article></div>"
+    assert html_extract.main_text(f"<body><article>{story}</article>{comments}</body>") == want
+    teaser = "<article><p>A teaser, of some words, for another page.</p></article>"
+    assert want in html_extract.main_text(f"<body>{teaser}<div>{story}</div></body>")
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a</p>", 3), (1, "u", "<p>a</p>", 3), (None, None, None, 4)], "page_id long, url string, html string, text long")
     assert [r.n_chars for r in html_extract.extract(rows).orderBy("page_id").collect()] == [0, 1, 1]
