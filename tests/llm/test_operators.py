@@ -167,6 +167,20 @@ def test_nearest_neighbours(spark):
     assert [v for v, _ in got[0]][:3] and ann.search(table.limit(0)).count() == 0
 
 
+def test_recall_beyond_the_budget_floor(spark):
+    """3,000 vectors, so that the share governs: half of the index is left out, and some neighbours with it."""
+    points = np.random.default_rng(12).normal(size=(3000, 64))
+    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in ann.search(table).collect():
+        got[r.query_id].add(r.vec_id)
+    score = points @ points[::20].T
+    score[np.arange(0, 3000, 20), np.arange(150)] = -np.inf
+    want = np.argsort(-score, axis=0)[:20].T
+    hits = sum(len(got[20 * q] & set(w.tolist())) for q, w in enumerate(want))
+    assert len(got) == 150 and 0.9 * want.size <= hits < want.size, hits / want.size
+
+
 def test_traversal_is_best_first():
     draw = np.random.default_rng(4)
     a, b, counts = draw.normal(size=9), draw.normal(size=7), np.ones((9, 7), int)
