@@ -2,33 +2,63 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of at most some 100 bytes that may be broadcast.
-BROADCAST_ROWS = 300_000
+#: A side of a join is broadcast if its rows come to at most so many bytes.
+BROADCAST_BYTES = 16 << 20
+#: Bytes that any row has at least.
+ROW_BYTES = 16
+
+_written: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder on one machine where the cluster names none."""
+    """spark.checkpoint.dir. Where it is unset, a temporary folder if all runs on one machine;
+    on a cluster, whose machines share no such folder, an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that driver and executors share (master {master})")
         where = "file://" + tempfile.mkdtemp(prefix="helixframe-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Written as Parquet and read again: the lineage ends here."""
+    """Written as Parquet and read again: the lineage ends here, and a lost executor costs no
+    recomputation. `scratch` deletes the table."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/helixframe/{label}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcast only if counted to be small; shuffled otherwise."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables materialized within are deleted at the end: to be put around the action that
+    uses them up, such as writing a query's result."""
+    first = len(_written)
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        while len(_written) > first:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
+            path.getFileSystem(conf).delete(path, True)
+
+
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast only if its rows, measured as JSON, come to at most `most` bytes."""
+    if df.count() * ROW_BYTES > most:
+        return df
+    row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + ROW_BYTES
+    return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= most else df
