@@ -1,46 +1,26 @@
-"""What the corpus operators share: tables, intermediate results, worker caches."""
+"""What the corpus operators share: tables, joins on documents' keys, worker caches."""
 
 from __future__ import annotations
 
 import sys
-import tempfile
 import types
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.prefix import running
+from ..plans.shared import materialize, scratch, shared_dir, sized
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Where the cluster names none
-    (spark.checkpoint.dir is unset, as in tests on one machine), a temporary one is set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="helixframe-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it again: lineage is cut, and a
-    lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/helixframe/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["LONGEST", "copy_numbers", "materialize", "running", "scratch", "shared_dir", "sized", "table", "without", "worker_cache"]
 
+#: Workers remember what belongs to chunks of at most so many characters, so that a cache
+#: bounded in entries is bounded in bytes.
+LONGEST = 48
 
-#: Rows of at most some 100 bytes; a side with more is shuffled instead of broadcast.
-BROADCAST_ROWS = 300_000
 
-
-def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, marked for broadcast only if it is counted to hold at most so many (narrow) rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def worker_cache(key: tuple, make):
@@ -53,6 +33,20 @@ def worker_cache(key: tuple, make):
     return held["value"]
 
 
+def copy_numbers(rows: DataFrame, group: list[str], name: str = "copy", share: int = 1 << 16) -> DataFrame:
+    """rows with consecutive numbers from 1 within each group of rows, in any order. A group
+    is dealt to tasks in parts of about `share` rows, whose sizes are summed up, so no task
+    gets all of a large one. `rows` should be a stored table, read alike each time."""
+    sizes = rows.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / share).alias("_parts"))
+    row = F.monotonically_increasing_id()
+    dealt = materialize(rows.withColumn("_row", row).join(sized(sizes), group).withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts"))).drop("_parts"), "copies")
+    parts = dealt.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*group).orderBy("_part")) - F.col("_n")
+    place = F.row_number().over(W.partitionBy(*group, "_part").orderBy("_row"))
+    out = dealt.withColumn(name, place).join(sized(parts.withColumn("_before", before).drop("_n")), [*group, "_part"])
+    return out.withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_row", "_part", "_before")
+
+
 def without(docs: DataFrame, drop: DataFrame, single: DataFrame) -> DataFrame:
     """Rows of docs but those whose (doc_id, text) is in drop (doc_id, sha); of the equal
     rows named in single (doc_id, sha), one. Texts are moved only if the keys are too many

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from helixframe.llm import ann, exact_dedup, html_extract, mixing, ngram_join, packing, secret_scan, token_counts, toxicity, warc
 
@@ -65,6 +66,18 @@ def test_exact_dedup(spark):
     assert exact_dedup.exact_duplicates(docs(spark, [])).count() == 0
 
 
+def test_exact_dedup_compares_blocks_of_one_hash(spark, monkeypatch):
+    """With four hash values, and all names in two buckets, groups are still those of the texts."""
+    monkeypatch.setattr(exact_dedup, "_hash", lambda *c: F.pmod(F.xxhash64(*c), F.lit(4)) * F.lit(1 << 61))
+    monkeypatch.setattr(exact_dedup, "BUCKET_BITS", 2)
+    rows = [(i, f"text {i % 40} " * (1 + i % 7), "s") for i in range(300)] + [(1000 + i, "copy " * 30, "s") for i in range(150)] + ODD
+    got = exact_dedup.exact_duplicates(docs(spark, rows), block=16).collect()
+    sizes = Counter(t or "" for _, t, _ in rows)
+    by_sha = {hashlib.sha256(t.encode()).hexdigest(): n for t, n in sizes.items()}
+    assert len(got) == len(rows) and all(r.group_size == by_sha[r.text_sha256] for r in got)
+    assert Counter(r.text_sha256 for r in got if r.kept) == Counter(dict.fromkeys(by_sha, 1))
+
+
 def test_html():
     page = "<html><head><title>T</title><script>var a='<p>no</p>'</script></head><body><header>Top</header><nav><ul><li><a href=x>One</a></ul></nav><div class='ad'>Buy, now.</div><article><h1>Head &amp; more</h1><p>First  <b>bold</b>\n text,<br>here.<p>Second &eacute;.<aside>side</aside></article><div id=comments><p>Nice, really nice.</div><footer>&copy; foot, long enough to count as text.</footer></body>"
     assert html_extract.main_text(page) == "Head & more\nFirst bold text, here.\nSecond é."
