@@ -15,13 +15,13 @@ def running(df: DataFrame, order: str | list[str], *columns: str) -> DataFrame:
     their task and shifted by the totals of the partitions before it, of which there are as
     many as tasks."""
     order = [order] if isinstance(order, str) else order
-    ranged = materialize(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_part", F.spark_partition_id()), "ranged")
-    totals = ranged.groupBy("_part").agg(*[F.sum(c).alias(f"_{c}") for c in columns])
-    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("_part", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in columns])
-    within = W.partitionBy("_part").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    out = ranged.join(F.broadcast(totals), "_part")  # a row per task
-    return out.select(*df.columns, *[(F.col(f"_{c}") + F.sum(c).over(within)).alias(f"sum_{c}") for c in columns])
+    ranged = materialize(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_range", F.spark_partition_id()), "ranged")
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_before_{c}") for c in columns])
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_before_{c}").over(before), F.lit(0)).alias(f"_before_{c}") for c in columns])
+    within = W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    out = ranged.join(F.broadcast(totals), "_range")  # a row per task
+    return out.select(*df.columns, *[(F.col(f"_before_{c}") + F.sum(c).over(within)).alias(f"sum_{c}") for c in columns])
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str = "id") -> DataFrame:
