@@ -52,10 +52,15 @@ QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_html_extract
 
 ORACLE_SQL = {
     "op1_mixing": r"""
-WITH base AS (
+WITH keyed AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         ('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 15))::BIGINT AS h
+         md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS digest
   FROM documents),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY source, digest) AS nth FROM keyed),
+base AS (
+  SELECT doc_id, source, size,
+         ('0x' || substr(CASE WHEN nth = 1 THEN digest ELSE md5(digest || ':' || nth) END, 1, 15))::BIGINT AS h
+  FROM numbered),
 sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM base GROUP BY source),
 ranked AS (
   SELECT *, row_number() OVER (ORDER BY source IS NULL, source) AS rk FROM sizes),

@@ -47,6 +47,30 @@ def test_mixing_odd_rows(spark):
     assert mixing.mix(docs(spark, [])).count() == 0
     assert mixing.mixed_documents(docs(spark, ODD)).columns == docs(spark, ODD).columns
     assert mixing.mix(docs(spark, [(1, "", "a"), (2, None, None)])).agg({"taken": "sum"}).first()[0] == 0
+    assert mixing.mixed_documents(docs(spark, [])).count() == 0
+
+
+def test_mixing_takes_some_of_many_equal_rows(spark):
+    """A source that is 200 equal rows of 500 comes as near its target as any, by SQL too."""
+    import duckdb
+
+    from helixframe.llm.queries import ORACLE_SQL
+
+    rows = [(1, "x " * 60, "a")] * 200 + [(i, "x " * (40 + i % 9), "b" if i % 2 else None) for i in range(2, 302)]
+    table = docs(spark, rows)
+    got = mixing.mix(table).collect()
+    taken, target = Counter(), {}
+    for r, (_, _, s) in zip(sorted(got, key=lambda r: r.doc_id), sorted(rows, key=lambda r: r[0]), strict=True):
+        taken[s] += r.taken
+        target[s] = r.target
+        assert r.taken <= 3 * r.size
+    assert all(abs(taken[s] - target[s]) <= 120 for s in target)
+    con = duckdb.connect()
+    con.register("documents", table.toArrow())
+    want = con.sql(ORACLE_SQL["op1_mixing"]).fetchall()
+    assert sorted(tuple(r)[:5] for r in got) == sorted(want)
+    mixed = Counter(r.doc_id for r in mixing.mixed_documents(table).select("doc_id").collect())
+    assert mixed == +Counter({i: sum(r.copies for r in got if r.doc_id == i) for i in {r.doc_id for r in got}})
 
 
 def test_exact_dedup(spark):
