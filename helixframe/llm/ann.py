@@ -3,22 +3,29 @@
 Vectors are cut in two halves, each quantised with a codebook of its own; a vector's cell
 is its pair of centroids. For a query, the pairs are traversed by summed inner product of
 query half and centroid, best first, with a heap over the two sorted lists, until the cells
-met hold `share` of the index; the vectors in them are ranked by their inner product.
+met hold a share of the index; the vectors in them are ranked by their inner product.
 
-Codebooks are fitted on at most `fit_rows` vectors (those with the smallest hash); every
+Codebooks are fitted on at most `fit_rows` vectors (those with the smallest hash). The share
+is what the target recall needs on that sample, where neighbours are known by brute force:
+it is small where vectors cluster, and near a half for directions without clusters. Every
 vector is indexed. Equal vectors are one entry with their `k + 1` smallest ids, which is all
 that any result can show of them, so a vector that fills a third of the table weighs no
-more than any other. Entries are dealt by their first centroid in chunks of bounded size; a
-query goes to a chunk once, with the second centroids it visits.
+more than any other.
 
-Defined results: vectors that are null, zero, hold null or non-finite components, or differ
-in length from most, take no part; equal rows are one row; rows of a query's own id aren't
-its candidates; an empty table gives an empty result; other columns are not looked at.
+Entries are dealt in chunks of neighbouring cells and queries in blocks of neighbouring
+cells, both of bounded size; a query goes to the chunks that it visits, and a chunk to the
+blocks that visit it, so work and copies grow with what is visited.
+
+Defined results: vectors that are null, zero, or hold null or non-finite components take no
+part; vectors of different lengths have no inner product, so each length has an index of its
+own; equal rows are one row; rows of a query's own id aren't its candidates; ties go to the
+smaller id; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,17 +34,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sized
 
-CHUNK = 8192
+#: Most entries of a chunk and queries of a block; fewer where there are few for each task.
+CHUNK, BLOCK = 32_768, 8_192
+#: Queries of the sample that set the share.
+PROBES = 256
+RESULT = "query_id long, rank int, vec_id long, score double"
 
 
 def valid(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(finite & F.exists("v", lambda x: x != 0))
-    size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).first()
-    return rows.filter(F.size("v") == (size["d"] if size else 0))
+    return rows.filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).filter(finite & F.exists("v", lambda x: x != 0))
 
 
 def fit_codebook(points: np.ndarray, size: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -45,46 +54,89 @@ def fit_codebook(points: np.ndarray, size: int, rounds: int = 12, seed: int = 7)
     points = np.unique(points, axis=0)
     centroids = points[np.random.default_rng(seed).permutation(len(points))[:size]].copy()
     for _ in range(rounds):
-        nearest = np.argmin((centroids**2).sum(1) - 2 * points @ centroids.T, axis=1)
+        nearest = codes(points, centroids)
         for j in range(len(centroids)):
             if (own := nearest == j).any():
                 centroids[j] = points[own].mean(0)
     return centroids
 
 
-def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, budget: int) -> list[tuple[int, int]]:
-    """Pairs of centroids, best sum first, until their entries reach the budget."""
+def codes(points: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return np.argmin((book**2).sum(1) - 2 * points @ book.T, axis=1).astype(np.int32)
+
+
+def traverse(first: np.ndarray, second: np.ndarray, counts: np.ndarray, budget: int) -> tuple[list[tuple[int, int]], float]:
+    """Pairs of centroids that have entries, best sum first, until these reach the budget;
+    and the sum of the last."""
     a, b = np.argsort(-first, kind="stable"), np.argsort(-second, kind="stable")
-    heap, seen, out, met = [(-(first[a[0]] + second[b[0]]), 0, 0)], {(0, 0)}, [], 0
+    x, y, n = first[a].tolist(), second[b].tolist(), counts[np.ix_(a, b)].tolist()
+    heap, out, met, last = [(-(x[0] + y[0]), 0, 0)], [], 0, -np.inf
     while heap and met < budget:
-        _, i, j = heapq.heappop(heap)
-        if n := int(counts[a[i], b[j]]):
-            out.append((int(a[i]), int(b[j])))
-            met += n
-        for x, y in ((i + 1, j), (i, j + 1)):
-            if x < len(a) and y < len(b) and (x, y) not in seen:
-                seen.add((x, y))
-                heapq.heappush(heap, (-(first[a[x]] + second[b[y]]), x, y))
-    return out
-
-
-def search(vectors: DataFrame, k: int = 20, every: int = 20, centroids: int = 64, share: float = 0.5, fit_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+        total, i, j = heapq.heappop(heap)
+        if n[i][j]:
+            out.append((i, j))
+            met, last = met + n[i][j], -total
+        if j + 1 < len(y):
+            heapq.heappush(heap, (-(x[i] + y[j + 1]), i, j + 1))
+        if j == 0 and i + 1 < len(x):  # a row of pairs comes in with its best
+            heapq.heappush(heap, (-(x[i + 1] + y[0]), i + 1, 0))
+    return [(int(a[i]), int(b[j])) for i, j in out], last
+
+
+def needed_share(points: np.ndarray, books: list[np.ndarray], half: int, k: int, recall: float) -> float:
+    """The share of the sample's entries in cells at least as good as a neighbour's, at the
+    quantile `recall` of its probes' k nearest."""
+    if len(points) <= k + 1:
+        return 1.0
+    own = [codes(points[:, :half], books[0]), codes(points[:, half:], books[1])]
+    asked = points[:: max(1, len(points) // PROBES)][:PROBES]
+    at = np.arange(0, len(points), max(1, len(points) // PROBES))[:PROBES]
+    near = asked @ points.T
+    near[np.arange(len(at)), at] = -np.inf
+    best = np.argpartition(-near, k, axis=1)[:, :k]
+    cell = (asked[:, :half] @ books[0].T)[:, own[0]] + (asked[:, half:] @ books[1].T)[:, own[1]]
+    share = [1 - np.searchsorted(np.sort(line), line[b] - 1e-12) / len(points) for line, b in zip(cell, best, strict=True)]
+    return float(np.quantile(np.concatenate(share), recall))
+
+
+def dealt(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each cell its first group and its number of groups: cells in order share groups of
+    about `most`, and a larger cell has several of its own."""
+    first, pieces = np.zeros(counts.shape, np.int32), np.ones(counts.shape, np.int32)
+    group, held = 0, 0
+    for cell in zip(*np.nonzero(counts), strict=True):
+        n = int(counts[cell])
+        if held and held + n > most:
+            group, held = group + 1, 0
+        first[cell], pieces[cell] = group, -(-n // most)
+        held += n
+        if n > most:
+            group, held = group + int(pieces[cell]), 0
+    return first, pieces
+
+
+def search(vectors: DataFrame, k: int = 20, every: int = 20, centroids: int = 128, recall: float = 0.95, fit_rows: int = 16_384, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score for each row whose id is divisible by `every`."""
-    spark = vectors.sparkSession
     rows = materialize(valid(vectors, id_col, vector_col), "ann-rows")
     keep = W.partitionBy("v").orderBy("vec_id")
     few = rows.distinct().withColumn("place", F.row_number().over(keep)).filter(F.col("place") <= k + 1)
     entries = few.groupBy("v").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_list("vec_id")).alias("ids"))
     asked = rows.filter(F.col("vec_id") % every == 0).distinct()
-    asked_vectors = asked.select("v").distinct().withColumn("asked", F.lit(True))
-    entries = materialize(entries.join(asked_vectors, "v", "left"), "ann-entries")
-    sample = [r["v"] for r in entries.orderBy(F.xxhash64("entry")).limit(fit_rows).select("v").collect()]
-    result = "query_id long, rank int, vec_id long, score double"
-    if not sample:
-        return spark.createDataFrame([], result)
-    points = np.array(sample, dtype=np.float64)
-    half = max(1, points.shape[1] // 2)
-    books = [fit_codebook(points[:, :half], centroids), fit_codebook(points[:, half:], centroids) if points.shape[1] > half else np.zeros((1, 0))]
+    entries = materialize(entries.join(asked.select("v").distinct().withColumn("asked", F.lit(True)), "v", "left"), "ann-entries")
+    ids = materialize(asked.join(entries.filter("asked").select("v", "entry"), "v").select(F.col("vec_id").alias("query_id"), "entry").distinct(), "ann-asked")
+    sizes = [r["d"] for r in entries.select(F.size("v").alias("d")).distinct().orderBy("d").collect()]
+    parts = [_search(entries.filter(F.size("v") == d), ids, k, centroids, recall, fit_rows) for d in sizes]
+    return reduce(DataFrame.unionByName, parts) if parts else rows.sparkSession.createDataFrame([], RESULT)
+
+
+def _search(entries: DataFrame, ids: DataFrame, k: int, centroids: int, recall: float, fit_rows: int) -> DataFrame:
+    """The results among vectors of one length."""
+    spark = entries.sparkSession
+    sample = entries.orderBy(F.xxhash64("entry"), "entry").limit(fit_rows).select("v").toArrow().column("v").combine_chunks()
+    points = np.ascontiguousarray(sample.flatten().to_numpy(zero_copy_only=False).reshape(len(sample), -1))
+    half = points.shape[1] // 2
+    books = [fit_codebook(points[:, :half], centroids), fit_codebook(points[:, half:], centroids)]
+    share = needed_share(points, books, half, k, recall)
 
     coded = pa.schema([("entry", pa.int64()), ("a", pa.int32()), ("b", pa.int32()), ("x", pa.binary()), ("ids", pa.list_(pa.int64())), ("asked", pa.bool_())])
 
@@ -93,68 +145,68 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, centroids: int = 64
             if not batch.num_rows:
                 continue
             x = np.ascontiguousarray(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1))
-            near = [np.argmin((c**2).sum(1) - 2 * part @ c.T, axis=1).astype(np.int32) for c, part in zip(books, (x[:, :half], x[:, half:]), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(near[0]), pa.array(near[1]), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2).cast(pa.list_(pa.int64())), batch.column(3)], schema=coded)
+            a, b = codes(x[:, :half], books[0]), codes(x[:, half:], books[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(a), pa.array(b), pa.array([r.tobytes() for r in x], pa.binary()), batch.column(2).cast(pa.list_(pa.int64())), batch.column(3)], schema=coded)
 
     index = materialize(entries.select("entry", "v", "ids", "asked").mapInArrow(quantise, "entry long, a int, b int, x binary, ids array<long>, asked boolean"), "ann-index")
-    counts = np.zeros((len(books[0]), len(books[1])), dtype=np.int64)
-    for r in index.groupBy("a", "b").count().collect():  # at most centroids ** 2 rows
-        counts[r["a"], r["b"]] = r["count"]
-    total = int(counts.sum())
-    budget = max(min(total, 50 * k), int(np.ceil(share * total)))
-    chunks = {a: max(1, -(-int(n) // CHUNK)) for a, n in enumerate(counts.sum(1))}
-    blocks = max(1, -(-index.filter("asked").count() // CHUNK))
-
-    visit = pa.schema([("entry", pa.int64()), ("a", pa.int32()), ("chunk", pa.int32()), ("block", pa.int32()), ("x", pa.binary()), ("mask", pa.binary())])
+    counts, queries = (np.zeros((len(books[0]), len(books[1])), dtype=np.int64) for _ in range(2))
+    for r in index.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.count_if("asked").alias("q")).collect():  # at most centroids ** 2 rows
+        counts[r["a"], r["b"]], queries[r["a"], r["b"]] = r["n"], r["q"]
+    total, tasks = int(counts.sum()), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    budget = max(k + 1, int(np.ceil(share * total)))
+    chunk, chunks = dealt(counts, max(1024, min(CHUNK, total // (2 * tasks))))
+    block, blocks = dealt(queries, BLOCK)
+    held = np.nonzero(counts)
+    cells = spark.createDataFrame(
+        pd.DataFrame({"a": held[0], "b": held[1], "chunk": chunk[held], "chunks": chunks[held], "block": block[held], "blocks": blocks[held]}).astype("int32"), "a int, b int, chunk int, chunks int, block int, blocks int"
+    )  # at most centroids ** 2 rows
+    among = lambda group: (F.col(group) + F.pmod(F.xxhash64("entry"), F.col(f"{group}s"))).cast("int").alias(group)
+    placed = index.join(F.broadcast(cells), ["a", "b"])
+
+    visit = pa.schema([("entry", pa.int64()), ("block", pa.int32()), ("x", pa.binary()), ("least", pa.float64()), ("chunk", pa.int32())])
 
     def probe(batches):
         for batch in batches:
-            out: list[dict] = []
-            for entry, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            out = []
+            for i, data in enumerate(batch.column(2).to_pylist()):
                 x = np.frombuffer(data)
-                mask = np.zeros(counts.shape, dtype=bool)
-                for i, j in traverse(books[0] @ x[:half], books[1] @ x[half:], counts, budget):
-                    mask[i, j] = True
-                for i in np.flatnonzero(mask.any(1)).tolist():
-                    bits = np.packbits(mask[i]).tobytes()
-                    out += [{"entry": entry, "a": i, "chunk": c, "block": entry % blocks, "x": data, "mask": bits} for c in range(chunks[i])]
-                if len(out) > 8192:
-                    yield pa.RecordBatch.from_pylist(out, schema=visit)
+                pairs, least = traverse(books[0] @ x[:half], books[1] @ x[half:], counts, budget)
+                met = tuple(np.array(pairs).T)
+                to = np.unique(np.repeat(chunk[met], chunks[met]) + np.concatenate([np.arange(n) for n in chunks[met]]))
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(to), batch.column(0)[i].as_py())), pa.array(np.full(len(to), batch.column(1)[i].as_py(), np.int32)), pa.array([data] * len(to), pa.binary()), pa.array(np.full(len(to), least)), pa.array(to.astype(np.int32))], schema=visit))
+                if len(out) >= 64:
+                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
                     out = []
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema=visit)
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
 
-    queries = index.filter("asked").select("entry", "x").mapInArrow(probe, "entry long, a int, chunk int, block int, x binary, mask binary")
-    sizes = F.element_at(F.array(*[F.lit(chunks[a]) for a in range(len(books[0]))]), F.col("a") + 1)
-    dealt = index.select("a", "b", F.pmod(F.xxhash64("entry"), sizes).cast("int").alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "x", "ids")
-    width = len(books[1])
+    asking = placed.filter("asked").select("entry", among("block"), "x").repartition(2 * tasks, "entry")
+    visits = materialize(asking.mapInArrow(probe, "entry long, block int, x binary, least double, chunk int"), "ann-visits")
+    wanted = visits.select(F.col("chunk").alias("to"), F.col("block").alias("from")).distinct()
+    there = placed.select(among("chunk"), "a", "b", "x", "ids").join(sized(wanted), F.col("chunk") == F.col("to")).select("chunk", F.col("from").alias("block"), "a", "b", "x", "ids")
 
     def rank(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(asked) and len(there):
-            there = there.sort_values("b", kind="stable")
             vectors = np.frombuffer(b"".join(there["x"]), dtype=np.float64).reshape(len(there), -1)
-            second, ids = there["b"].to_numpy(), there["ids"].tolist()
-            for at in range(0, len(asked), 512):
-                part = asked.iloc[at : at + 512]
+            a, b, ids = there["a"].to_numpy(), there["b"].to_numpy(), there["ids"].tolist()
+            step = max(1, (1 << 20) // len(there))
+            for at in range(0, len(asked), step):
+                part = asked.iloc[at : at + step]
                 x = np.frombuffer(b"".join(part["x"]), dtype=np.float64).reshape(len(part), -1)
-                mask = np.unpackbits(np.frombuffer(b"".join(part["mask"]), np.uint8).reshape(len(part), -1), axis=1)[:, :width].astype(bool)
-                score = np.full((len(part), len(vectors)), -np.inf)
-                for j in np.unique(second):
-                    rows, (lo, hi) = np.flatnonzero(mask[:, j]), np.searchsorted(second, [j, j + 1])
-                    if len(rows):
-                        score[rows, lo:hi] = x[rows] @ vectors[lo:hi].T
+                score = x @ vectors.T
+                cell = (x[:, :half] @ books[0].T)[:, a] + (x[:, half:] @ books[1].T)[:, b]
+                score[cell < part["least"].to_numpy()[:, None] - 1e-12] = -np.inf
                 best = np.partition(score, -(k + 1), axis=1)[:, -(k + 1)] if score.shape[1] > k + 1 else np.full(len(part), -np.inf)
-                for q, (entry, line, least) in enumerate(zip(part["entry"].tolist(), score, best, strict=True)):
+                for entry, line, least in zip(part["entry"].tolist(), score, best, strict=True):
                     found = [(-line[c], i) for c in np.flatnonzero((line >= least) & (line > -np.inf)) for i in ids[c]]
                     out += [(entry, i, -s) for s, i in heapq.nsmallest(k + 1, found)]
         return pd.DataFrame(out, columns=["entry", "vec_id", "score"]).astype({"entry": "int64", "vec_id": "int64", "score": "float64"})
 
-    by = ("a", "chunk", "block")
-    found = queries.groupBy(*by).cogroup(dealt.groupBy(*by)).applyInPandas(rank, "entry long, vec_id long, score double")
+    by = ("chunk", "block")
+    found = visits.groupBy(*by).cogroup(there.groupBy(*by)).applyInPandas(rank, "entry long, vec_id long, score double")
     order = W.partitionBy("entry").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
-    ids = asked.join(entries.filter("asked").select("v", "entry"), "v").select(F.col("vec_id").alias("query_id"), "entry").distinct()
     pairs = ids.join(best, "entry").filter(F.col("vec_id") != F.col("query_id"))
     own = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return pairs.withColumn("rank", F.row_number().over(own)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

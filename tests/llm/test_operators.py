@@ -184,46 +184,78 @@ def test_the_programme_places_a_wide_histogram(monkeypatch):
     assert sum(b for _, b in plan) <= 1.005 * fewest
 
 
+def nearest(points, q, n):
+    """Ids of the n best by brute force, ties to the smaller."""
+    s = points @ points[q]
+    return sorted((i for i in range(len(points)) if i != q), key=lambda i: (-round(s[i], 9), i))[:n]
+
+
 def test_nearest_neighbours(spark):
+    """Copies, odd vectors, and a length of its own with fewer candidates than k."""
     draw = np.random.default_rng(1)
     points = draw.normal(size=(900, 8))
     points[100:400] = points[0]
-    rows = [(i, [float(v) for v in p], None) for i, p in enumerate(points)] + [(2000, None, None), (2020, [0.0] * 8, None), (2040, [float("nan")] * 8, None), (2060, [None] * 8, None), (2080, [1.0], None)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, v int")
+    rows = [(i, [float(v) for v in p], None) for i, p in enumerate(points)] + [(2000, None, None), (2020, [0.0] * 8, None), (2040, [float("nan")] * 8, None), (2060, [None] * 8, None), (2080, [1.0], None), (2081, [2.0], None), (2082, [-3.0], None)]
+    table = spark.createDataFrame(rows + rows[:3], "vec_id long, embedding array<double>, v int")
     got = defaultdict(list)
     for r in ann.search(table, centroids=8).orderBy("query_id", "rank").collect():
         got[r.query_id].append((r.vec_id, r.score))
+    assert got.pop(2080) == [(2081, 2.0), (2082, -3.0)]
     assert set(got) == set(range(0, 900, 20))
     hits = 0
     for q, found in got.items():
         s = points @ points[q]
-        want = sorted((i for i in range(900) if i != q), key=lambda i: (-round(s[i], 9), i))[:20]
-        hits += len({v for v, _ in found} & set(want))
+        hits += len({v for v, _ in found} & set(nearest(points, q, 20)))
         assert all(abs(c - s[v]) < 1e-9 for v, c in found) and len(found) == 20
+        assert found == sorted(found, key=lambda x: (-round(x[1], 9), x[0]))
     assert hits >= 0.9 * 20 * len(got)
-    assert [v for v, _ in got[0]][:3] and ann.search(table.limit(0)).count() == 0
+    assert ann.search(table.limit(0)).count() == 0
+    assert ann.search(table.filter("vec_id < 15")).count() == 14  # fewer rows than k
 
 
-def test_recall_beyond_the_budget_floor(spark):
-    """3,000 vectors, so that the share governs: half of the index is left out, and some neighbours with it."""
-    points = np.random.default_rng(12).normal(size=(3000, 64))
-    table = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+def test_recall_on_the_embeddings(spark):
+    """The operator against brute force on a test table, part of whose index is left out."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = {r.vec_id: r.embedding for r in table.collect()}
+    points = np.array([rows[i] for i in sorted(rows)])
+    assert sorted(rows) == list(range(len(points)))
     got = defaultdict(set)
     for r in ann.search(table).collect():
         got[r.query_id].add(r.vec_id)
-    score = points @ points[::20].T
-    score[np.arange(0, 3000, 20), np.arange(150)] = -np.inf
-    want = np.argsort(-score, axis=0)[:20].T
-    hits = sum(len(got[20 * q] & set(w.tolist())) for q, w in enumerate(want))
-    assert len(got) == 150 and 0.9 * want.size <= hits < want.size, hits / want.size
+    want = {q: set(nearest(points, q, 20)) for q in range(0, len(points), 20)}
+    hits = sum(len(got[q] & w) for q, w in want.items())
+    assert got.keys() == want.keys() and 0.9 * 20 * len(want) <= hits < 20 * len(want), hits / 20 / len(want)
+
+
+def test_clusters_need_a_small_share():
+    draw = np.random.default_rng(5)
+    points = np.repeat(draw.normal(size=(60, 16)) * 4, 50, axis=0) + draw.normal(size=(3000, 16)) * 0.2
+    books = [ann.fit_codebook(points[:, :8], 32), ann.fit_codebook(points[:, 8:], 32)]
+    assert ann.needed_share(points, books, 8, 20, 0.95) < 0.1
+    plain = draw.normal(size=(3000, 16))
+    books = [ann.fit_codebook(plain[:, :8], 32), ann.fit_codebook(plain[:, 8:], 32)]
+    assert 0.1 < ann.needed_share(plain, books, 8, 20, 0.95) < 0.6
 
 
 def test_traversal_is_best_first():
     draw = np.random.default_rng(4)
     a, b, counts = draw.normal(size=9), draw.normal(size=7), np.ones((9, 7), int)
-    found = ann.traverse(a, b, counts, 63)
+    counts[3] = 0
+    found, last = ann.traverse(a, b, counts, 56)
     sums = [a[i] + b[j] for i, j in found]
-    assert sums == sorted(sums, reverse=True) and len(set(found)) == 63
+    assert sums == sorted(sums, reverse=True) and len(set(found)) == 56 and last == pytest.approx(sums[-1])
+    assert ann.traverse(a, b, counts, 5)[0] == found[:5]
+
+
+def test_cells_are_dealt_in_bounded_groups():
+    counts = np.random.default_rng(3).integers(0, 9, (12, 12))
+    counts[4, 4] = 95
+    first, pieces = ann.dealt(counts, 20)
+    held = Counter()
+    for cell in zip(*np.nonzero(counts), strict=True):
+        for j in range(pieces[cell]):
+            held[int(first[cell]) + j] += counts[cell] / pieces[cell]
+    assert max(held.values()) <= 20 and sorted(held) == list(range(len(held))) and pieces[4, 4] == 5
 
 
 def brute_spans(t):
