@@ -7,8 +7,9 @@ Texts that agree in a band meet in its bucket and are verified on their full set
 - Equal texts are one entry that stands for all its copies.
 - A bucket with the same members as one of an earlier band is left out, and a pair is
   verified in the first band it shares only, so no list of pairs has to be made distinct.
-- A bucket of many members is cut into blocks, and each pair of blocks is a group of its
-  own: no task gets a whole hot bucket, and no pair is left out.
+- A bucket of many n-grams is cut into blocks of bounded size, and each pair of blocks is a
+  group of its own: no task gets a whole hot bucket, and no pair is left out. A member is
+  copied once for each block; groups are verified tile by tile in bounded memory.
 - Pairs are never emitted: a group yields, for each member, its number of links and one
   edge to the root of its component there. Components over all groups are found by minimum
   labels with pointer jumping, in tables.
@@ -16,7 +17,9 @@ Texts that agree in a band meet in its bucket and are verified on their full set
 
 Defined results: a text with 1 to n - 1 words is one n-gram; a text without words (null,
 empty) has no links and is a class of its own; copies link to each other; a null doc_id is
-larger than any other; an empty table gives an empty result; other columns are not looked at.
+larger than any other; equal rows are copies; a very long text is one set, which counts by
+its own size; similarity just at the threshold is a link; an empty table gives an empty
+result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -30,11 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized, without, worker_cache
+from .common import LONGEST, materialize, sized, without, worker_cache
 
-BLOCK = 256
+#: N-grams (8 bytes each) of a block of a bucket, each member counting for MEMBER more.
+BLOCK = 1 << 19
+MEMBER = 32
+#: Members and, about, n-grams of a tile; columns that are compared at once.
+TILE, TILE_GRAMS, COLUMNS = 256, 1 << 17, 4096
 CACHED = 300_000
-CANDIDATES = 100_000
 
 
 def bands_for(threshold: float, rows: int, recall: float) -> int:
@@ -58,7 +64,7 @@ def shingles(text: str | None, n: int, cache: dict[str, int]) -> np.ndarray:
         h = cache.get(w)
         if h is None:
             h = xxhash.xxh3_64_intdigest(w)
-            if len(cache) < CACHED:
+            if len(cache) < CACHED and len(w) <= LONGEST:
                 cache[w] = h
         hashes.append(h)
     x = np.array(hashes, dtype=np.uint64)
@@ -115,45 +121,66 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.sha2(text, 256).alias("sha"), "text").mapInArrow(run, "doc_id long, sha string, n int, bands array<long>")
 
 
-def _intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of each left with each right set. Only n-grams in two
-    sets or more count; columns go in chunks, so memory is bounded by the block."""
-    joined = np.concatenate(sets)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, times = np.unique(joined, return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    column, owner = column[shared], owner[shared]
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left with each right set. Only n-grams on both
+    sides count; columns go in chunks, so memory is bounded by the sets' own size."""
+    x, y = np.concatenate(left), np.concatenate(right)
     out = np.zeros((len(left), len(right)), np.float32)
-    if not len(column):
+    shared = np.intersect1d(np.unique(x), np.unique(y), assume_unique=True)
+    if not len(shared):
         return out
-    column = np.unique(column, return_inverse=True)[1]
-    order = np.argsort(column, kind="stable")
-    column, owner = column[order], owner[order]
-    for lo in range(0, int(column[-1]) + 1, 4096):
-        a, b = np.searchsorted(column, [lo, lo + 4096])
-        dense = np.zeros((len(sets), 4096), np.float32)
-        dense[owner[a:b], column[a:b] - lo] = 1
-        out += dense[left] @ dense[right].T
+    sides = []
+    for joined, sets in ((x, left), (y, right)):
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        column = np.searchsorted(shared, joined).clip(max=len(shared) - 1)
+        known = shared[column] == joined
+        column, owner = column[known], owner[known]
+        order = np.argsort(column, kind="stable")
+        sides.append((column[order], owner[order], len(sets)))
+    for lo in range(0, len(shared), COLUMNS):
+        dense = []
+        for column, owner, n in sides:
+            a, b = np.searchsorted(column, [lo, lo + COLUMNS])
+            part = np.zeros((n, min(COLUMNS, len(shared) - lo)), np.float32)
+            part[owner[a:b], column[a:b] - lo] = 1
+            dense.append(part)
+        out += dense[0] @ dense[1].T
     return out
 
 
-def linked_in_group(band: int, cross: bool, side: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Pairs (of places in the group) whose sets are similar and that meet here first."""
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if cross else (np.arange(len(sets)),) * 2
-    if not len(left) or not len(right):
-        return np.empty((0, 2), int)
-    same = bands[left][:, None, :] == bands[right][None, :, :]
-    mine = same[:, :, band] & (same.argmax(2) == band)
-    if not cross:
-        mine &= left[:, None] < right[None, :]
+def _tiles(members: np.ndarray, sets: list[np.ndarray]) -> list[np.ndarray]:
+    """members in runs of at most TILE, or about TILE_GRAMS n-grams."""
+    out, start, held = [], 0, 0
+    for i, m in enumerate(members.tolist()):
+        held += len(sets[m])
+        if i - start + 1 >= TILE or held >= TILE_GRAMS:
+            out.append(members[start : i + 1])
+            start, held = i + 1, 0
+    return out + ([members[start:]] if start < len(members) else [])
+
+
+def linked_in_group(band: int, cross: bool, side: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], threshold: float):
+    """Pairs (of places in the group) whose sets are similar and that meet here first, tile
+    by tile."""
     size = np.array([len(s) for s in sets], float)
-    a, b = size[left][:, None], size[right][None, :]
-    mine &= np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
-    if not mine.any():
-        return np.empty((0, 2), int)
-    both = _intersections(sets, left, right)
-    i, j = np.nonzero(mine & (both >= threshold * (a + b - both) - 1e-9))
-    return np.stack([left[i], right[j]], axis=1)
+    left = _tiles(np.flatnonzero(side == 0) if cross else np.arange(len(sets)), sets)
+    right = _tiles(np.flatnonzero(side == 1), sets) if cross else left
+    for i, a in enumerate(left):
+        for b in right if cross else right[i:]:
+            same = bands[a][:, None, :] == bands[b][None, :, :]
+            mine = same[:, :, band] & (same.argmax(2) == band)
+            if a is b:
+                mine &= a[:, None] < b[None, :]
+            n, m = size[a][:, None], size[b][None, :]
+            mine &= np.minimum(n, m) >= threshold * np.maximum(n, m) - 1e-9
+            rows, columns = np.flatnonzero(mine.any(1)), np.flatnonzero(mine.any(0))
+            if not len(rows):
+                continue
+            both = _intersections([sets[x] for x in a[rows]], [sets[x] for x in b[columns]])
+            n, m = size[a[rows]][:, None], size[b[columns]][None, :]
+            x, y = np.nonzero(mine[np.ix_(rows, columns)] & (both >= threshold * (n + m - both) - 1e-9))
+            if len(x):
+                yield np.stack([a[rows][x], b[columns][y]], axis=1)
 
 
 def _groups(batches, keys: int):
@@ -179,6 +206,20 @@ def _groups(batches, keys: int):
         yield last, pa.Table.from_batches(held)
 
 
+def joined(root: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """root (of each place the smallest place known to be connected) with the pairs' places
+    connected, too."""
+    while True:
+        low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
+        new = root.copy()
+        for side in (0, 1):
+            np.minimum.at(new, root[pairs[:, side]], low)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges(id, root) -> id, comp: the smallest id of the connected component."""
     both = materialize(edges.select("id", F.col("root").alias("to")).union(edges.select(F.col("root"), F.col("id"))).distinct(), "join-edges")
@@ -199,14 +240,16 @@ def _joined(docs: DataFrame, words: int, threshold: float, rows: int, recall: fl
     signed = materialize(_signed(docs, words, bands, rows), "join-signed")
     entries = signed.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("bands").alias("bands"))
     entries = materialize(entries.withColumn("id", F.monotonically_increasing_id()), "join-entries")
-    places = entries.select("id", F.posexplode("bands").alias("band", "h"))
-    buckets = places.groupBy("band", "h").agg(F.count(F.lit(1)).alias("m"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")).filter("m > 1")
-    buckets = buckets.groupBy("m", "x1", "x2").agg(F.min(F.struct("band", "h")).alias("b")).select("m", "b.band", "b.h")
-    met = places.join(buckets, ["band", "h"]).groupBy("id").agg(F.collect_list(F.struct("band", "h", "m")).alias("met"))
+    places = entries.select("id", "n", F.posexplode("bands").alias("band", "h"))
+    buckets = places.groupBy("band", "h").agg(
+        F.count(F.lit(1)).alias("m"), F.sum(F.col("n") + MEMBER).alias("grams"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")
+    ).filter("m > 1")
+    buckets = buckets.groupBy("m", "grams", "x1", "x2").agg(F.min(F.struct("band", "h")).alias("b")).select(F.ceil(F.col("grams") / BLOCK).cast("int").alias("blocks"), "b.band", "b.h")
+    met = places.join(buckets, ["band", "h"]).groupBy("id").agg(F.collect_list(F.struct("band", "h", "blocks")).alias("met"))
     wanted = materialize(entries.join(met, "id").select("id", "rep", F.col("sha").alias("s"), "copies", "bands", "met"), "join-candidates")
     text = F.coalesce(F.col("text"), F.lit(""))
     texts = docs.select(F.col("doc_id").cast("long"), F.sha2(text, 256).alias("sha"), "text")
-    texts = texts.join(sized(wanted, CANDIDATES), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("sha") == F.col("s"))).select("id", "copies", "bands", "met", "text")
+    texts = texts.join(sized(wanted), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("sha") == F.col("s"))).select("id", "copies", "bands", "met", "text")
 
     def to_sets(batches):
         cache = worker_cache(("word hashes",), dict)
@@ -215,12 +258,11 @@ def _joined(docs: DataFrame, words: int, threshold: float, rows: int, recall: fl
                 part = batch.slice(at, 512)
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([shingles(t.as_py(), words, cache).tobytes() for t in part.column(4)], pa.binary())], names=["id", "copies", "bands", "met", "set"])
 
-    sets = texts.mapInArrow(to_sets, "id long, copies long, bands array<long>, met array<struct<band:int,h:bigint,m:bigint>>, set binary")
-    blocks = F.ceil(F.col("m") / BLOCK)
+    sets = texts.mapInArrow(to_sets, "id long, copies long, bands array<long>, met array<struct<band:int,h:bigint,blocks:int>>, set binary")
     spread = (
         sets.select("id", "copies", "bands", "set", F.inline("met"))
-        .withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+        .withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "bands", "set")
     )
     n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -235,24 +277,16 @@ def _joined(docs: DataFrame, words: int, threshold: float, rows: int, recall: fl
                 continue
             group = group.take(first)
             own = group.column("own").to_numpy()
-            signs = np.stack([np.array(b) for b in group.column("bands").to_pylist()])
-            sets = [np.frombuffer(s, np.uint64) for s in group.column("set").to_pylist()]
-            pairs = linked_in_group(band, i != j, (own == j).astype(int), signs, sets, threshold)
-            if not len(pairs):
-                continue
+            signs = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in group.column("set")]
             weight = group.column("copies").to_numpy()
-            links = np.bincount(pairs[:, 0], weight[pairs[:, 1]], len(ids)) + np.bincount(pairs[:, 1], weight[pairs[:, 0]], len(ids))
-            root = np.arange(len(ids))
-            while True:
-                low = np.minimum(root[pairs[:, 0]], root[pairs[:, 1]])
-                new = root.copy()
-                np.minimum.at(new, pairs[:, 0], low)
-                np.minimum.at(new, pairs[:, 1], low)
-                new = new[new]
-                if (new == root).all():
-                    break
-                root = new
-            out += zip(ids[links > 0].tolist(), links[links > 0].astype(np.int64).tolist(), ids[root[links > 0]].tolist(), strict=True)
+            links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            for pairs in linked_in_group(band, i != j, (own == j).astype(int), signs, sets, threshold):
+                np.add.at(links, pairs[:, 0], weight[pairs[:, 1]])
+                np.add.at(links, pairs[:, 1], weight[pairs[:, 0]])
+                root = joined(root, pairs)
+            some = links > 0
+            out += zip(ids[some].tolist(), links[some].tolist(), ids[root[some]].tolist(), strict=True)
             if len(out) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=schema)
                 out = []

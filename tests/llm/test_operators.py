@@ -283,7 +283,11 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, [])).count() == 0
 
 
-def test_near_duplicates(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicates(spark, monkeypatch, small):
+    if small:  # many blocks, tiles and chunks of columns
+        for name, value in (("BLOCK", 3000), ("TILE", 7), ("TILE_GRAMS", 900), ("COLUMNS", 64)):
+            monkeypatch.setattr(ngram_join, name, value)
     draw = random.Random(9)
     word = lambda: f"v{draw.randint(0, 5000)}"
     rows = []
@@ -295,7 +299,7 @@ def test_near_duplicates(spark):
                 copy[draw.randrange(len(copy))] = word()
             rows.append((len(rows), " ".join(copy), f"s{g}"))
     hot = [word() for _ in range(150)]
-    for i in range(300):  # more than a block
+    for i in range(300):
         copy = list(hot)
         copy[i % 150] = f"u{i}"
         rows.append((len(rows), " ".join(copy), "hot"))
@@ -318,6 +322,19 @@ def test_near_duplicates(spark):
     assert ngram_join.near_duplicates(docs(spark, ODD)).count() == len(ODD)
 
 
+def test_connected_places():
+    draw = random.Random(6)
+    for _ in range(50):
+        pairs = np.array([(draw.randrange(30), draw.randrange(30)) for _ in range(25)])
+        root = ngram_join.joined(np.arange(30), pairs[:10])
+        root = ngram_join.joined(root, pairs[10:])
+        want = list(range(30))
+        for a, b in pairs.tolist():
+            low, high = sorted((want[a], want[b]))
+            want = [low if x == high else x for x in want]
+        assert root.tolist() == want
+
+
 def test_toxicity(spark):
     draw = random.Random(4)
     rows, labels = [], []
