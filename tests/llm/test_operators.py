@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -283,6 +284,18 @@ def test_secrets(spark):
     assert secret_scan.scan(docs(spark, [])).count() == 0
 
 
+def test_secrets_in_texts_full_of_them(spark):
+    """Work grows with the matches: 40,000 in one text of 1.3 MB."""
+    draw = random.Random(2)
+    text = " ".join(f"token={draw.getrandbits(96):024x}" if i % 2 else f"Ab9{draw.getrandbits(100):025x}Z" for i in range(40_000))
+    began = time.time()
+    got = {r.doc_id: r for r in secret_scan.scan(docs(spark, [(1, text, "a"), (2, "x" * 2_000_000, "b"), (3, "ab " * 300_000, None)])).collect()}
+    base = sorted(brute_spans(text))
+    assert got[1].base_sha256 == hashlib.sha256(",".join(s for _, _, s in base).encode()).hexdigest() and got[1].n_assign == 20_000
+    assert got[1].n_live >= got[1].n_owned and (got[2].spans, got[3].spans) == ("", "")
+    assert time.time() - began < 60
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_near_duplicates(spark, monkeypatch, small):
     if small:  # many blocks, tiles and chunks of columns
