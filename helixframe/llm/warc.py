@@ -8,15 +8,17 @@ nested row per capture.
 Archives are written by Spark's text writer: a record is a row, and the blank lines that
 end a record are the line separator, so any file system Spark writes to will do, and a
 failed task leaves nothing. They are read as whole files, record by record by their
-Content-Length, so payloads may hold anything; the writer's `per_file` bounds their size.
+Content-Length, so payloads may hold anything. Files are bounded in bytes: pages are written
+by classes of payload size, each with as many captures a file as its largest payload allows,
+so a file of several captures holds at most `file_bytes` of payloads.
 Pages whose payload others share are found from digests alone, and only these keys are
 joined to the pages: by a size-checked broadcast, so payloads aren't shuffled, or beyond
 that by a shuffle that Spark can split where one payload fills much of the table.
 
 Defined results: a null page has an empty payload; payloads of under `least` bytes are
 never revisits; of rows with equal page_id, url and html, so many captures come back; a
-null page_id is smaller than any other and comes back as null; an empty table gives an
-empty result; other columns are not looked at.
+null page_id is smaller than any other and comes back as null; a very long page is a file of
+its own; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shared_dir, sized
 
-PER_FILE = 6_000
+FILE_BYTES = 64 << 20
+#: Largest payload of a class, and how much larger that of the next is.
+SMALL, STEP = 1 << 15, 8
 END = "\r\n\r\n"
 
 
@@ -58,12 +62,35 @@ def responders(pages: DataFrame, least: int = 1000) -> DataFrame:
     return groups.filter("pages > 1").select("digest", "n", F.col("answer.page_id").alias("answer"), _uri("response", F.col("answer.page_id"), F.col("answer.url"), F.col("digest")).alias("refers"))
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 1000, per_file: int = PER_FILE) -> None:
-    """Writes gzip'd archives to the folder `path`: three records per page, at most
-    `per_file` records a file."""
+def size_classes(most: int, file_bytes: int = FILE_BYTES) -> list[tuple[int, int, int]]:
+    """(payloads of more than, payloads of up to, captures a file) for payloads up to `most`."""
+    out, low, high = [], -1, min(SMALL, file_bytes)
+    while True:
+        out.append((low, high, max(1, file_bytes // high)))
+        if high >= most:
+            return out
+        low, high = high, high * STEP
+
+
+def write_warc(pages: DataFrame, path: str, least: int = 1000, file_bytes: int = FILE_BYTES) -> None:
+    """Writes gzip'd archives to folders in `path`: three records per page, at most
+    `file_bytes` of payloads in a file, or one capture."""
+    size = F.octet_length(F.coalesce(F.col("html"), F.lit("")))
+    classes = size_classes(1 << 31, file_bytes)  # a string is shorter
+    shared = sized(materialize(responders(pages, least), "warc-responders"))
+    place = sum(((size > high).cast("int") for _, high, _ in classes), F.lit(0))
+    present = {r["c"] for r in pages.select(place.alias("c")).distinct().collect()}  # as many as classes
+    for c, (low, high, captures) in enumerate(classes):
+        if c in present or not present and not c:
+            own = pages.filter((size > low) & (size <= high)) if len(present) > 1 else pages
+            _records(own, shared, least).write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", 3 * captures).text(f"{path}/size-{c}")
+
+
+def _records(pages: DataFrame, shared: DataFrame, least: int) -> DataFrame:
+    """value: the pages' records, without the blank lines that end them."""
     text = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", text.alias("html"), F.sha1(text).alias("digest"), F.octet_length(text).alias("n"))
-    rows = rows.join(sized(materialize(responders(pages, least), "warc-responders")), ["digest", "n"], "left")
+    rows = rows.join(shared, ["digest", "n"], "left")
     page, url, digest, refers = F.col("page_id"), F.col("url"), F.col("digest"), F.col("refers")
     target = F.regexp_replace(F.coalesce(url, F.lit("about:blank")), r"[\s\x00-\x1F]", "")
     own, labelled = _uri("response", page, url, digest), F.concat(F.lit("sha1:"), digest)
@@ -80,8 +107,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 1000, per_file: int = P
     request = _record("request", _uri("request", page, url, digest), asked, "application/http; msgtype=request", ("WARC-Target-URI", target), ("WARC-Concurrent-To", own))
     fields = F.concat(F.lit("pageId: "), F.coalesce(page.cast("string"), F.lit("-")), F.lit("\r\npayloadLength: "), F.col("n").cast("string"), F.lit("\r\n"))
     metadata = _record("metadata", _uri("metadata", page, url, digest), fields, "application/warc-fields", ("WARC-Target-URI", target), ("WARC-Concurrent-To", own))
-    records = rows.select(F.explode(F.array(request, F.when(revisits, revisit).otherwise(response), metadata)).alias("value"))
-    records.write.option("lineSep", END).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(path)
+    return rows.select(F.explode(F.array(request, F.when(revisits, revisit).otherwise(response), metadata)).alias("value"))
 
 
 RECORD = "record_id string, record_type string, concurrent_to string, refers_to string, target_uri string, date string, content_type string, payload_digest string, payload_bytes long, fields map<string,string>, payload binary"
