@@ -32,14 +32,15 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, worker_cache
+from .common import LONGEST, copy_numbers, materialize, worker_cache
 
 #: Fixed value: how byte-level BPE of this kind cuts a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 CACHED = 300_000
+#: Most pieces of a length that are numbered in one task.
+RANKED = 1 << 16
 #: Part of a length that a round may cover, fall of the prices, share of the best worth: from coarse to fine.
 LEVELS = ((1 / 8, 0.5, 0.97), (1 / 16, 8.0, 0.97), (1 / 32, 16.0, 0.99))
 CLOSE = 0.001
@@ -48,14 +49,14 @@ UNSURE = re.compile(r" [^\S ]|  |[\x1c-\x1f\x85]")
 
 
 class _Ids(dict):
-    """Chunk -> its ids as 32-bit numbers, remembered up to CACHED chunks."""
+    """Chunk -> its ids as 32-bit numbers, remembered up to CACHED chunks of ordinary length."""
 
     def __init__(self, encode, prefix: str):
         self.encode, self.prefix = encode, prefix
 
     def __missing__(self, chunk: str) -> bytes:
         ids = array("I", self.encode(self.prefix + chunk)).tobytes()
-        if len(self) < CACHED:
+        if len(self) < CACHED and len(chunk) <= LONGEST:
             self[chunk] = ids
         return ids
 
@@ -271,23 +272,23 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     cut = materialize(pieces(docs, path, capacity, end_id), "pack-pieces")
-    salt = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(64))
-    parts = cut.groupBy("length", salt.alias("salt")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 64 * capacity rows
-    histogram: Counter = Counter()
-    before = np.zeros((capacity + 1, 64), np.int64)
-    for r in sorted(parts, key=lambda r: (r["length"], r["salt"])):
-        before[r["length"], r["salt"]] = histogram[r["length"]]
-        histogram[r["length"]] += r["n"]
-    slots = spark.sparkContext.broadcast((_slots(configurations(histogram, capacity), capacity), before))  # bounded by the capacity
-    by = W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = cut.withColumn("salt", salt).withColumn("place", F.row_number().over(by) - F.lit(1))
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = F.col("length") == capacity
+    # a full piece is a sequence of its own: its row's number will do, and is below those of the plan
+    alone = cut.filter(full).select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    histogram = {r["length"]: r["n"] for r in cut.filter(~full).groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # fewer than `capacity` rows
+    if not histogram:
+        return alone
+    slots = spark.sparkContext.broadcast(_slots(configurations(histogram, capacity), capacity))  # bounded by the capacity
+    # so that a task gets a part of a frequent length only
+    share = max(256, min(RANKED, sum(histogram.values()) // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    ranked = copy_numbers(cut.filter(~full), ["length"], "place", share)
     schema = pa.schema([*PIECES, ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
     def deal(batches):
-        table, start = slots.value
+        table = slots.value
         for batch in batches:
-            length, group, place = (batch.column(i).to_numpy() for i in (3, 5, 6))
-            place = place + start[length, group]
+            length, place = batch.column(3).to_numpy(), batch.column(5).to_numpy() - 1
             sequence, offset = np.zeros(len(place), np.int64), np.zeros(len(place), np.int64)
             for x in np.unique(length):
                 rows = np.flatnonzero(length == x)
@@ -298,6 +299,5 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = 2048, end_id:
                 offset[rows] = at[i] + nth % copies[i] * x
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], schema=schema)
 
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("salt").cast("long"), F.col("place").cast("long")).mapInArrow(
-        deal, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    dealt = ranked.select(*names, "place").mapInArrow(deal, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return dealt.unionByName(alone)

@@ -169,12 +169,65 @@ def test_configurations_cover():
     assert sum(b for _, b in plan) <= 1.01 * sum(b for _, b in packing.best_fit(dict(histogram), 128))
 
 
-def test_the_programme_places_a_wide_histogram(monkeypatch):
+def fewest_bins(items, capacity):
+    """By trying all ways, largest item first; each bin only with what fits."""
+    items, best = sorted(items, reverse=True), len(items)
+
+    def place(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(items):
+            best = len(rooms)
+            return
+        for room in {r for r in rooms if r >= items[k]}:
+            rest = list(rooms)
+            rest.remove(room)
+            place(k + 1, [*rest, room - items[k]])
+        place(k + 1, [*rooms, capacity - items[k]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_against_all_ways():
+    draw = random.Random(11)
+    for _ in range(60):
+        capacity = draw.randint(8, 24)
+        items = [draw.randint(1, capacity) for _ in range(draw.randint(1, 10))]
+        plan = packing.configurations(dict(Counter(items)), capacity)
+        made = Counter()
+        for config, bins in plan:
+            assert sum(n * c for n, c in config.items()) <= capacity
+            made.update({n: c * bins for n, c in config.items()})
+        assert made == Counter(items)
+        assert sum(b for _, b in plan) <= fewest_bins(items, capacity) + 1
+
+
+def test_packing_hot_lengths_and_full_pieces(spark):
+    """Many copies of one text, and texts of exactly and many times the capacity."""
+    rows = [(i, "word " * 20, "s") for i in range(3000)] + [(5000 + i, "a" * (1 + i % 40), "s") for i in range(500)] + [(9000, "word " * 5000, "s"), (9000, "word " * 5000, "s")]
+    got = packing.pack(docs(spark, rows), capacity=64).collect()
+    held = defaultdict(list)
+    for r in got:
+        held[r.sequence_id].append((r.offset, r.length))
+    for parts in held.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:i]) for i in range(len(parts))] and sum(n for _, n in parts) <= 64
+    by_doc = defaultdict(list)
+    for r in got:
+        by_doc[r.doc_id].append((r.start, r.length, r.piece))
+    assert all(n == 64 for i in by_doc for _, n, k in by_doc[i] if k) and by_doc.keys() == {i for i, _, _ in rows}
+    lone = Counter(r.length for r in got)
+    assert len(held) <= lone[64] + sum(b for _, b in packing.best_fit({n: c for n, c in lone.items() if n < 64}, 64)) + 1
+
+
+def test_the_programme_places_a_wide_histogram():
     """Best fit gets the rounding's residue only, and more bins than best fit's own aren't needed."""
-    draw, own, left = np.random.default_rng(6), packing.best_fit, Counter()
+    draw = np.random.default_rng(6)
     histogram = Counter(draw.lognormal(4.2, 1.0, 100_000).clip(1, 511).astype(int).tolist()) + Counter({5: 30_000, 175: 20_000, 375: 15_000})
-    fewest = sum(b for _, b in own(dict(histogram), 512))
-    monkeypatch.setattr(packing, "best_fit", lambda rest, capacity: left.update(rest) or own(rest, capacity))
+    fewest = sum(b for _, b in packing.best_fit(dict(histogram), 512))
+    left = Counter(packing.programme(dict(histogram), 512)[1])
     plan, made = packing.configurations(dict(histogram), 512), Counter()
     for config, bins in plan:
         assert sum(n * c for n, c in config.items()) <= 512
@@ -385,20 +438,30 @@ def test_warc(spark, tmp_path):
     assert kinds == {"request": 9, "metadata": 9, "response": 7, "revisit": 2}
     bodies = {bytes(r.payload) for r in warc.read_warc(spark, str(tmp_path / "w"), payloads=True).filter("record_type = 'response'").collect()}
     assert bodies == {(t or "").encode() for _, _, t in rows}
-    part = next((tmp_path / "w").glob("part-*"))
+    part = next((tmp_path / "w").rglob("part-*"))
     plain = gzip.decompress(part.read_bytes())
     assert [h["warc-type"] for h, _ in warc.parse_warc(plain)] == [h["warc-type"] for h, _ in warc.parse_warc(part.read_bytes())]
     assert warc.archived(pages.limit(0), str(tmp_path / "none")).count() == 0
 
 
 def test_warc_files_are_bounded_and_keys_may_be_shuffled(spark, tmp_path, monkeypatch):
-    pages = spark.createDataFrame([(i, f"u{i}", f"{i % 5} " * 800) for i in range(60)], "page_id long, url string, html string").coalesce(1)
+    pages = spark.createDataFrame([(i, f"u{i}", f"{i % 5} " * (800 if i < 50 else 4000 * (i - 49))) for i in range(60)], "page_id long, url string, html string").coalesce(1)
     monkeypatch.setattr(warc, "sized", lambda df: df)
-    warc.write_warc(pages, str(tmp_path / "w"), per_file=7)
-    counts = [len(list(warc.parse_warc(f.read_bytes()))) for f in (tmp_path / "w").glob("part-*")]
-    assert max(counts) <= 7 and sum(counts) == 180
+    monkeypatch.setattr(warc, "SMALL", 2000)
+    warc.write_warc(pages, str(tmp_path / "w"), file_bytes=10_000)
+    files = [list(warc.parse_warc(f.read_bytes())) for f in (tmp_path / "w").rglob("part-*")]
+    payloads = [[int(b.split(b"Content-Length: ")[1].split(b"\r\n")[0]) for h, b in f if h["warc-type"] in ("response", "revisit")] for f in files]
+    assert sum(map(len, files)) == 180 and sum(map(len, payloads)) == 60
+    assert all(len(p) <= 1 or sum(p) <= 10_000 for p in payloads) and max(map(len, payloads)) == 5
     got = warc.archived(pages, str(tmp_path / "a")).collect()
-    assert {(r.page_id, r.refers_to) for r in got} == {(i, 55 + i % 5 if i < 55 else None) for i in range(60)}
+    want = {(i, 45 + i % 5 if i < 45 else None) for i in range(60)}
+    assert {(r.page_id, r.refers_to) for r in got} == want
+
+
+def test_warc_size_classes():
+    got = warc.size_classes(40 << 20)
+    assert [low for low, _, _ in got] == [-1] + [high for _, high, _ in got[:-1]] and got[-1][1] >= 40 << 20
+    assert all(n == 1 or n * high <= warc.FILE_BYTES for _, high, n in got)
 
 
 def test_token_counts(spark):
