@@ -3,14 +3,15 @@
 A sentencepiece BPE model without a piece that holds the space mark after another
 character never merges across the start of a run of spaces, so a text's count is the sum
 over its chunks, each a run of spaces and the characters that follow. When a model is
-loaded, that property is checked on its vocabulary, and every vocabulary string is encoded
-alone: those that give one token are counted directly. Other chunks are merged by the
-library, and their counts are remembered. A model without the property, or with a
-normaliser that changes texts, is applied to whole texts; so are texts that hold the
-space mark itself.
-
-Defined results: a null text counts as empty, with 0 tokens; equal rows and null ids are
-kept as they are; an empty table gives an empty result; other columns are not looked at.
+loaded, that property is checked on its vocabulary and its normaliser's own rules, and every
+vocabulary string is encoded alone: those that give one token are counted directly. Other
+chunks are merged by the library, and the counts of those of ordinary length are remembered.
+A model without the property, or with a normaliser that changes texts, is applied to whole
+texts; so are texts that hold the space mark itself.
+
+Defined results: a null text counts as empty, with 0 tokens; a very long text is counted
+whole; equal rows and null ids are kept as they are; an empty table gives an empty result;
+other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import worker_cache
+from .common import LONGEST, worker_cache
 
 MARK = "▁"
 CACHED = 400_000
@@ -37,9 +38,17 @@ def whole_tokens(model) -> set[str]:
 
 def separable(model) -> bool:
     """Whether no piece joins a space mark to what stands before it, spaces start every text
-    and nothing is normalised."""
-    kept = all("".join(model.encode(s, out_type=str)).replace("<0xEF><0xBC><0xA1>", "Ａ").replace("<0x0A>", "\n").replace("<0x09>", "\t") == MARK + s.replace(" ", MARK) for s in SAMPLES)
-    return kept and not any(MARK in p.lstrip(MARK) for p in map(model.id_to_piece, range(model.get_piece_size())))
+    and nothing is normalised, by the model's own rules. If these can't be read, False."""
+    try:
+        from sentencepiece import sentencepiece_model_pb2 as form
+    except ImportError:
+        return False
+    spec = form.ModelProto.FromString(model.serialized_model_proto())
+    rules, kinds = spec.normalizer_spec, form.ModelProto.SentencePiece
+    plain = not (rules.precompiled_charsmap or rules.normalization_rule_tsv or rules.remove_extra_whitespaces) and rules.add_dummy_prefix and rules.escape_whitespaces
+    plain = plain and spec.trainer_spec.model_type == form.TrainerSpec.BPE and not spec.trainer_spec.treat_whitespace_as_suffix
+    known = any(p.piece == MARK for p in spec.pieces)
+    return plain and known and not any(p.type == kinds.USER_DEFINED or MARK in p.piece.lstrip(MARK) for p in spec.pieces)
 
 
 def load_counter(path: str):
@@ -76,10 +85,9 @@ def load_counter(path: str):
         new = list({w for _, words in cut for w in words if w not in cache})
         more = dict(zip(new, merged(new), strict=True))
         if len(cache) + len(new) <= CACHED:
-            cache.update(more)
-            more = cache
+            cache.update((w, n) for w, n in more.items() if len(w) <= LONGEST)
         for i, words in cut:
-            out[i] = sum(map(cache.__getitem__, words)) if more is cache else sum(cache[w] if w in cache else more[w] for w in words)
+            out[i] = sum(cache[w] if w in cache else more[w] for w in words)
         return out
 
     return count
