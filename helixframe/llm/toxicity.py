@@ -7,12 +7,15 @@ k; a document whose P(grade > 0) is at least a half is toxic. Grades come from t
 0 not toxic, 1 toxic, 2 toxic and of low quality.
 
 The model is fitted on at most `fit_rows` labelled documents (those with the smallest hash
-of doc_id), a documented bound; whole texts are scored, everywhere alike. As rates are sums
-over words, a word's share of the score is one number, which workers remember.
-
-Defined results: a null or empty text has only the thresholds' own score and isn't toxic;
-without labels, or with labels of one class, nothing is toxic; null labels are left out;
-equal rows score alike; an empty table gives an empty result; other columns are not looked at.
+of doc_id), a documented bound, until its loss settles; whole texts are scored, everywhere
+alike. As rates are sums over words, a word's share of the score is one number, which workers
+remember.
+
+Defined results: a null or empty text has only the thresholds' own score and isn't toxic; a
+very long text is scored whole; a score just at a threshold is of the higher grade; without
+labels, or with labels of one class, nothing is toxic; null labels are left out, of several
+labels of a document the gravest counts; equal rows score alike; an empty table gives an
+empty result; other columns are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized, without, worker_cache
+from .common import LONGEST, materialize, sized, without, worker_cache
 
 FIT_ROWS = 4_000
 PREFIXES = (4, 5)
@@ -56,9 +59,11 @@ def rate(n_words):
     return 100 / (n_words + 20)
 
 
-def fit(samples: list[tuple[np.ndarray, np.ndarray]], graded: list[int], grades: int = 3, rounds: int = 150, sparse: float = 0.001) -> tuple[dict[int, float], list[float]]:
+def fit(samples: list[tuple[np.ndarray, np.ndarray]], graded: list[int], grades: int = 3, rounds: int = 100, steps: int = 50, sparse: float = 0.001, settled: float = 1e-4) -> tuple[dict[int, float], list[float]]:
     """Weights by feature and ascending thresholds, by proximal adaptive gradient steps over
-    all samples. Features of fewer than LEAST_DOCUMENTS samples are left out."""
+    all samples. A round looks at all features' gradients and takes `steps` steps on those
+    that are in use or would be; rounds end when the loss falls by less than `settled` of
+    itself. Features of fewer than LEAST_DOCUMENTS samples are left out."""
     names, spread = np.unique(np.concatenate([ids for ids, _ in samples]), return_counts=True)
     names = names[spread >= LEAST_DOCUMENTS]
     row, column, value = [], [], []
@@ -76,26 +81,41 @@ def fit(samples: list[tuple[np.ndarray, np.ndarray]], graded: list[int], grades:
     start = above.mean(0).clip(1e-4, 1 - 1e-4)
     theta = np.log((1 - start) / start)
     w, seen, seen_theta = np.zeros(len(names)), np.full(len(names), 1e-8), np.full(cuts, 1e-8)
-    for _ in range(rounds):
-        z = np.bincount(row, w[column] * value, m)
+    k = np.arange(m)
+
+    def slopes(z: np.ndarray):
+        """Loss, and how it changes with a sample's sum and with the thresholds: the
+        likelihood is that of the grade's interval between two neighbouring thresholds."""
         p = 1 / (1 + np.exp(-np.clip(z[:, None] - theta, -30, 30)))
-        # likelihood of the grade's interval between two neighbouring thresholds
-        upper = np.concatenate([np.ones((m, 1)), p], axis=1)
-        lower = np.concatenate([p, np.zeros((m, 1))], axis=1)
-        k = np.arange(m)
-        up, low = upper[k, y], lower[k, y]
+        up = np.concatenate([np.ones((m, 1)), p], axis=1)[k, y]
+        low = np.concatenate([p, np.zeros((m, 1))], axis=1)[k, y]
         width = np.maximum(up - low, 1e-9)
         d_up, d_low = up * (1 - up) / width, low * (1 - low) / width
-        gradient = -(d_up - d_low) / m
-        g = np.bincount(column, gradient[row] * value, len(names))
-        seen += g**2
-        step = 0.5 / np.sqrt(seen)
-        w -= step * g
-        w = np.sign(w) * np.maximum(0, np.abs(w) - step * sparse)
-        g_theta = np.array([(d_up * (y == j + 1) - d_low * (y == j)).sum() / m for j in range(cuts)])
-        seen_theta += g_theta**2
-        theta = np.maximum.accumulate(theta - 0.3 / np.sqrt(seen_theta) * g_theta)
-        theta += 1e-6 * np.arange(cuts)
+        by_theta = np.array([(d_up * (y == j + 1) - d_low * (y == j)).sum() / m for j in range(cuts)])
+        return -np.log(width).mean(), -(d_up - d_low) / m, by_theta
+
+    last = np.inf
+    for _ in range(rounds):
+        loss, by_sum, _ = slopes(np.bincount(row, w[column] * value, m))
+        loss += sparse * np.abs(w).sum()
+        if last - loss < settled * loss:
+            break
+        last = loss
+        used = np.flatnonzero((w != 0) | (np.abs(np.bincount(column, by_sum[row] * value, len(names))) > sparse))
+        place = np.full(len(names), -1)
+        place[used] = np.arange(len(used))
+        own = place[column] >= 0
+        r, c, v = row[own], place[column[own]], value[own]
+        for _ in range(steps):
+            _, by_sum, by_theta = slopes(np.bincount(r, w[used][c] * v, m))
+            g = np.bincount(c, by_sum[r] * v, len(used))
+            seen[used] += g**2
+            step = 0.5 / np.sqrt(seen[used])
+            moved = w[used] - step * g
+            w[used] = np.sign(moved) * np.maximum(0, np.abs(moved) - step * sparse)
+            seen_theta += by_theta**2
+            theta = np.maximum.accumulate(theta - 0.3 / np.sqrt(seen_theta) * by_theta)
+            theta += 1e-6 * np.arange(cuts)
     return {int(names[i]): float(w[i]) for i in np.flatnonzero(w)}, [float(t) for t in theta]
 
 
@@ -131,7 +151,7 @@ def _score(rows: DataFrame, text: str, weights: dict[int, float], thresholds: li
 
         def own(word: str) -> float:
             w = weights.get(feature(word), 0.0) + sum(weights.get(feature(word[:k] + "*"), 0.0) for k in PREFIXES if len(word) > k)
-            if len(cache) < CACHED:
+            if len(cache) < CACHED and len(word) <= LONGEST:
                 cache[word] = w
             return w
 

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import math
 import random
 import re
 import time
@@ -420,6 +421,48 @@ def test_toxicity(spark):
     assert {r.doc_id for r in clean.collect()} == {i for i, r in got.items() if not r.toxic}
     none = toxicity.severity(docs(spark, ODD), known.limit(0))
     assert none.count() == len(ODD) and not any(r.toxic for r in none.collect())
+    assert toxicity.severity(docs(spark, []), known).count() == 0 and toxicity.clean_documents(docs(spark, []), known).count() == 0
+    one_class = toxicity.severity(docs(spark, rows[:20]), known.filter("toxic = 0"))
+    assert not any(r.toxic for r in one_class.collect())
+
+    # scores again by hand, of very long and odd texts too
+    weights, thresholds = toxicity.fit([toxicity.features(rows[i][1]) for i in range(200)], [0 if not t else 2 - q for _, q, t in labels[:200]])
+    more = rows[200:220] + [(1000, LONG + " nastyone" * 3000, "s"), (1001, "nastyone " * 50_000, "s"), (1002, None, "s"), (1003, "", None), (1003, "", None)]
+    scored = toxicity.severity(docs(spark, rows[:200] + more), known).filter("doc_id >= 200").collect()
+    assert len(scored) == len(more)
+    texts = {i: t for i, t, _ in more}
+    for r in scored:
+        z = sum(weights.get(int(n), 0.0) * v for n, v in zip(*toxicity.features(texts[r.doc_id]), strict=True))
+        p = [1 / (1 + math.exp(t - z)) for t in thresholds]
+        assert r.severity == pytest.approx(sum(p), abs=1e-5) and r.p_toxic == pytest.approx(p[0], abs=1e-5) and r.grade == sum(x >= 0.5 for x in p)
+    assert {r.doc_id for r in scored if r.toxic} >= {1001}
+
+
+def test_likelihood_falls_to_its_least():
+    """The fit against small changes of every number that it returns."""
+    draw = np.random.default_rng(8)
+    names = [np.uint32(1 + j) for j in range(6)]
+    x = draw.random((300, 6)).astype(np.float32)
+    true = np.array([3.0, -2.0, 0, 0, 1.0, 0])
+    y = np.searchsorted([1.0, 2.2], x @ true + draw.logistic(size=300) * 0.4)
+    weights, thresholds = toxicity.fit([(np.array(names), r) for r in x], y.tolist(), settled=1e-9)
+
+    def loss(w, t):
+        z = x.astype(float) @ w
+        p = 1 / (1 + np.exp(np.array(t)[None, :] - z[:, None]))
+        above, below = np.c_[np.ones(300), p], np.c_[p, np.zeros(300)]
+        return -np.log((above - below)[np.arange(300), y]).mean() + 0.001 * np.abs(w).sum()
+
+    w = np.array([weights.get(int(n), 0.0) for n in names])
+    least = loss(w, thresholds)
+    for i in range(8):
+        for change in (-0.05, 0.05):
+            moved_w, moved_t = w.copy(), list(thresholds)
+            if i < 6:
+                moved_w[i] += change
+            else:
+                moved_t[i - 6] += change
+            assert loss(moved_w, moved_t) > least - 1e-5
 
 
 def test_warc(spark, tmp_path):
