@@ -126,6 +126,60 @@ def test_html_keeps_articles_in_wrappers():
     assert want in html_extract.main_text(f"<body>{teaser}<div>{story}</div></body>")
 
 
+STORY = "<h1>Head</h1><p>One sentence, with marks. Another one, too.</p><p>Short.</p><ul><li>a point</li></ul><p>And a second, longer paragraph of text.</p>"
+TOLD = "Head\nOne sentence, with marks. Another one, too.\nShort.\na point\nAnd a second, longer paragraph of text."
+LINKS = "<div><a href=/>Home</a> <a href=/n>News</a></div><div><ul><li><a>One</a><li><a>Two</a></ul></div>"
+
+
+def test_html_ratios_decide(monkeypatch):
+    """No name on this page tells the article; with ratios that choose every path, all stays."""
+    page = f"<body>{LINKS}<div><div>{STORY}</div></div><div><span>Terms</span> <span>Contact</span></div></body>"
+    assert html_extract.main_text(page) == TOLD
+    short = f"<body><main><p>Side, x.</p></main><div>{STORY}</div></body>"
+    assert TOLD in html_extract.main_text(short)
+    monkeypatch.setattr(html_extract, "content_paths", lambda nodes: {n[1] for n in nodes if n[3].strip()})
+    assert html_extract.main_text(page) == "Home News\nOne\nTwo\n" + TOLD + "\nTerms Contact"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<body><article><header class='entry-header'>{STORY[:13]}</header>{STORY[13:]}</article></body>",
+        f"<body><article><div class='header'>{STORY[:13]}</div>{STORY[13:]}</article></body>".replace("div class='header'", "header class='header'").replace("</div>", "</header>"),
+        f"<form id=page>{LINKS}<div>{STORY}</div><input type=text><select><option>x</select></form>",
+        f"<body><nav><ul><li><a>Home</a></ul><div>{STORY}</div></body>",
+        f"<body><div class='has-sidebar'>{LINKS}<div>{STORY}</div></div></body>",
+        f"<body><div class='title'>{STORY[:13]}</div><div class=text>{STORY[13:]}</div><div><a>x</a></div></body>",
+        f"<table><tr><td><a>Home</a><td>{STORY}<td><a>More</a></table>",
+        f"<body><article>{STORY}</article><section class=related><article><p>Another text, of some words. With marks, too.</p></article></section><aside><p>Side, long and with marks, too. Again, some.</p></aside></body>",
+    ],
+)
+def test_html_keeps_the_article_only(page):
+    assert html_extract.main_text(page) == TOLD
+
+
+def test_html_keeps_inline_names():
+    page = "<article><p>See <a class='related'>this study</a> for more, <span class=ad>please</span>.</p><h2 class=notice>Next, this</h2><p>And text, of course.</p></article>"
+    assert html_extract.main_text(page) == "See this study for more, please.\nNext, this\nAnd text, of course."
+
+
+def test_html_odd_markup():
+    assert html_extract.main_text("<p>a &#" + "9" * 5000 + "; b &#0000065;, c</p>") == "a � b A, c"
+    assert html_extract.main_text("<p title='a>b'>x, y</p><p data-x=\"1>2\">z, w</p><p>5 < 6 <- 7, <3</p>") == "x, y\nz, w\n5 < 6 <- 7, <3"
+    assert html_extract.main_text("<p>text, here</p><p class='un>closed, one</p><p>more, text</p>") == "text, here\nclosed, one\nmore, text"
+    assert html_extract.main_text("<p>whole, text</p><a href='x") == "whole, text"
+    assert html_extract.main_text("<![CDATA[a<b, c]]><!-- no --><?x no?><p>d, e") == "a<b, c\nd, e"
+
+
+@pytest.mark.parametrize("part", ["<p", "<p ", "<", "<!--", "<![CDATA[", "<a '", '<a b="', "</x", "<b>", "<div>", "</div>", "<ul><li>x", "<script ", "</script", "<p>x, y<b></i>", "&#", "&", "<a =", "<a = = ", "<td><p></b>", "a" * 50])
+def test_html_time_is_linear(part):
+    """Ten megabytes of one odd thing, or of fewer where each is an element."""
+    page = part * (10_000_000 // len(part) if ">" not in part else 300_000)
+    began = time.time()
+    html_extract.main_text("<p>first, text</p>" + page)
+    assert time.time() - began < 30
+
+
 def test_html_rows(spark):
     rows = spark.createDataFrame([(1, "u", "<p>a</p>", 3), (1, "u", "<p>a</p>", 3), (None, None, None, 4)], "page_id long, url string, html string, text long")
     assert [r.n_chars for r in html_extract.extract(rows).orderBy("page_id").collect()] == [0, 1, 1]
