@@ -42,6 +42,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, path: str) -> None:
+    """Deletes a table's folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables materialized within are deleted at the end: to be put around the action that
@@ -50,10 +56,8 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
         while len(_written) > first:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_written.pop())
-            path.getFileSystem(conf).delete(path, True)
+            drop(spark, _written.pop())
 
 
 def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
