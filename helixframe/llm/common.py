@@ -10,9 +10,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.prefix import running
-from ..plans.shared import materialize, scratch, shared_dir, sized
+from ..plans.shared import drop, materialize, scratch, shared_dir, sized
 
-__all__ = ["LONGEST", "copy_numbers", "materialize", "running", "scratch", "shared_dir", "sized", "table", "without", "worker_cache"]
+__all__ = ["LONGEST", "copy_numbers", "drop", "materialize", "running", "scratch", "shared_dir", "sized", "table", "without", "worker_cache"]
 
 #: Workers remember what belongs to chunks of at most so many characters, so that a cache
 #: bounded in entries is bounded in bytes.

@@ -636,3 +636,45 @@ def test_pipeline(spark):
             end += length
         assert end <= 2048
     assert len(sequences) <= 1.02 * sum(r.length for r in out) / 2048 + 2
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty texts, equal rows, columns with the operators' names, no rows."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(1, 1, 0), (None, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "odd/labels.parquet"))
+    more = "rk long, row string, k1 long, digest string, queue string, length long, place long, copy int, copies long, grade int, toxic boolean, hash long, cut string"
+    wide = docs(spark, ODD * 2)
+    for c in more.split(", "):
+        wide = wide.withColumn(c.split()[0], F.lit(None).cast(c.split()[1]))
+    wide.write.parquet(str(tmp_path / "odd/documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    # of LONG and LONG! one stays, near copies; of the empty ones one; mixing takes some of the rest
+    assert {r.doc_id for r in out} <= {None, 1, 3, 6, 7, 8} and len({r.doc_id for r in out} & {6, 7}) <= 1 and sum(r.length for r in out)
+    stage, kept = wide, [len(ODD) * 2]
+    for _, run in corpus_pipeline.STAGES[:-1]:
+        stage = run(spark, stage, str(tmp_path / "odd"))
+        assert stage.columns == wide.columns
+        kept.append(stage.count())
+    assert kept[:4] == [18, 18, 5, 4]
+
+    for name in ("documents", "labels"):
+        spark.read.parquet(str(tmp_path / f"odd/{name}.parquet")).limit(0).write.parquet(str(tmp_path / f"none/{name}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_operators_on_nulls_in_any_column(spark):
+    nothing = spark.createDataFrame([(None,) * 9] * 3, COLUMNS)
+    labels = spark.createDataFrame([(None, None, None)], "doc_id long, quality int, toxic int")
+    assert [(r.doc_id, r.size, r.taken) for r in mixing.mix(nothing).collect()] == [(None, 0, 0)] * 3
+    assert sorted(r.kept for r in exact_dedup.exact_duplicates(nothing).collect()) == [False, False, True]
+    assert exact_dedup.deduplicated(nothing).count() == 1
+    assert [(r.piece, r.length) for r in packing.pack(nothing).collect()] == [(0, 1)] * 3
+    assert [r.spans for r in secret_scan.scan(nothing).collect()] == [""] * 3
+    assert [r.n_links for r in ngram_join.near_duplicates(nothing).collect()] == [0] * 3 and ngram_join.one_of_each(nothing).count() == 3
+    assert [r.toxic for r in toxicity.severity(nothing, labels).collect()] == [False] * 3
+    assert [r.n_tokens for r in token_counts.token_counts(nothing).collect()] == [0] * 3
+    assert ann.search(spark.createDataFrame([(None, None)], "vec_id long, embedding array<double>")).count() == 0
+    pages = spark.createDataFrame([(None, None, None)] * 2, "page_id long, url string, html string")
+    assert [r.text for r in html_extract.extract(pages).collect()] == [""] * 2
+    assert [(r.page_id, r.payload_bytes, r.record_type) for r in warc.archived(pages).collect()] == [(None, 0, "response")] * 2
