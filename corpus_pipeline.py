@@ -1,7 +1,14 @@
 """The corpus pipeline: toxicity, exact dedup, near-duplicates, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
-and read again as the next stage's documents; all but the last keep the documents' columns.
+and read again as the next stage's documents; all but the last keep the documents' columns,
+whatever their names. A stage's intermediate tables are deleted once its result is written,
+and its input once the next stage's is.
+
+Defined results: a null text counts as empty, isn't toxic, and of empty texts exact dedup
+keeps one, that with the largest doc_id (a null one is the smallest); of equal rows one
+stays; ties are resolved as the operators say; a null source is a source; very long texts go
+through whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,7 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from helixframe.llm import exact_dedup, mixing, ngram_join, packing, toxicity
-from helixframe.llm.common import shared_dir, table
+from helixframe.llm.common import drop, scratch, shared_dir, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +52,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (name, stage) in enumerate(STAGES):
         path = f"{top}/{i}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if i:
+            drop(spark, f"{top}/{i - 1}-{STAGES[i - 1][0]}")
         docs = spark.read.parquet(path)
     return docs
