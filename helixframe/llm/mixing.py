@@ -31,8 +31,6 @@ from .common import copy_numbers, materialize, running, sized
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS = 60
-#: Documents of a source that are ordered in one task, about.
-SEGMENT_ROWS = 1 << 14
 
 
 def _place(digest: Column) -> Column:
@@ -101,7 +99,7 @@ def queues(docs: DataFrame, weights: int = 3, epochs: int = 3) -> tuple[DataFram
     base = _queued(keyed, equal)
     base = base if equal is None else materialize(base, "mix-queued")
     n = keyed.count()
-    shift = HASH_BITS - max(0, (n // SEGMENT_ROWS).bit_length())
+    shift = HASH_BITS - int(n**0.5).bit_length()  # as many segments as rows in one, for a source that is all
     segments = base.groupBy("queue", F.shiftright("h", shift).alias("segment")).agg(F.min("source").alias("source"), F.sum("size").alias("part"))
     before = W.partitionBy("queue").orderBy("segment").rowsBetween(W.unboundedPreceding, -1)
     segments = materialize(segments.withColumn("before", F.coalesce(F.sum("part").over(before), F.lit(0))), "mix-segments")
