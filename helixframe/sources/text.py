@@ -18,6 +18,26 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
     return gzip.decompress(bytes(data)) if bytes(data[:2]) == b"\x1f\x8b" else bytes(data)
 
 
+def gzipped(spark: SparkSession, path: str) -> bool:
+    """By the first two bytes, whatever the name."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    try:
+        return (stream.read(), stream.read()) == (0x1F, 0x8B)
+    finally:
+        stream.close()
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value (a line of one file, trimmed) and its place: block, mono. Spark unpacks by suffix;
+    a gzip'd file of another name is unpacked on the driver."""
+    if gzipped(spark, path) and not path.endswith(".gz"):
+        lines = read_bytes(spark, path).decode().splitlines()
+        return spark.createDataFrame([(0, i, x.strip()) for i, x in enumerate(lines)], "block long, mono long, value string")
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("mono"))
+    return raw.select("block", "mono", F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """id (place in the file, from 0), name (the header line), seq. Records are split where a
     line starts with '>'; what stands before the first is dropped."""

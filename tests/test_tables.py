@@ -57,6 +57,36 @@ def test_weights_files(spark, tmp_path):
     assert (tmp_path / "out.txt").read_text().splitlines() == ["# include_rc=false", "AA\t-1", "AC\t0.25", "GT\t0.25", "TT\t-1"]
 
 
+def test_odd_weights_files(spark, tmp_path):
+    def load(data, l=2, **more):
+        (tmp_path / "w.txt").write_bytes(data if isinstance(data, bytes) else data.encode())
+        m = models.load_deltasvm(spark, str(tmp_path / "w.txt"), l, **more)
+        return m.include_rc, {r.kmer: r.w for r in m.weights.collect()}
+
+    assert load("xyz 1\nac 0.5\n\n gt  2 \nAC 3\n") == (True, {"AC": 3.0, "GT": 2.0})
+    assert load("# include_RC=False\nAC\t1\n") == (False, {"AC": 1.0})
+    assert load("# include_RC=False\nAC\t1\n", include_rc=True)[0]
+    assert load(gzip.compress(b"AC\t1\n")) == (True, {"AC": 1.0})  # packed under another name
+    for bad, what in (("", "no weights"), ("AC 1\nNN 2\n", "bases"), ("AC 1\nACG 1\n", "letters"), ("AC\n", "columns"), ("AC x\n", "columns"), ("ACG 1\n", "less than")):
+        with pytest.raises(ValueError, match=what):
+            load(bad)
+
+
+def test_lsgkm_header_and_errors(spark, tmp_path):
+    head = "svm_type c_svc\nkernel_type 4\nL 4\nk 2\nd 1\nM 5\nH 2.5\nnr_class 2\ntotal_sv 2\nrho -0.75 1\nlabel 1 -1\nnote free text\n"
+    assert models.parse_lsgkm_header(head + "SV\nx 1\n") == {
+        "svm_type": "c_svc", "kernel_type": 4, "L": 4, "k": 2, "d": 1, "M": 5, "H": 2.5, "nr_class": 2, "total_sv": 2, "rho": [-0.75, 1], "label": [1, -1], "note": ["free", "text"], "norc": 0,
+    }
+    path = tmp_path / "m.txt"
+    path.write_text(head + "SV\n0.5 ACGTA\n\n-0.5\tACGTC \n")
+    m = models.load_lsgkm(spark, str(path))
+    assert m.bias == 0.75 and m.kernel.kind == 4 and m.kernel.include_rc and [tuple(r) for r in m.sv.orderBy("id").collect()] == [(0, "ACGTA", 0.5), (1, "ACGTC", -0.5)]
+    for text_, kind in ((head, ValueError), (head + "SV\n0.5 ACGTA\n", ValueError), (head + "SV\n0.5\n1 AC\n", ValueError), (head.replace("nr_class 2", "nr_class 3") + "SV\n", NotImplementedError)):
+        path.write_text(text_)
+        with pytest.raises(kind):
+            models.load_lsgkm(spark, str(path))
+
+
 def test_fasta_and_bed(spark, tmp_path):
     (tmp_path / "a.fa").write_text("junk\n>one two\nAC\nGT\n\n>x>y\r\nTT\r\n>empty\n")
     assert [(r.id, r.name, r.seq) for r in text.read_fasta(spark, str(tmp_path / "a.fa")).orderBy("id").collect()] == [(0, "one two", "ACGT"), (1, "x>y", "TT"), (2, "empty", "")]
