@@ -7,6 +7,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BASES = "ACGT"
+DIGITS = "0123"
 
 
 def letters(seq: Column, allow_other: bool = False) -> Column:

@@ -8,7 +8,9 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .windows import kmers
+from ..functions.sequence import kmer_index, reverse_complement
+from ..plans.shared import materialize
+from .windows import packed, wanted, weighed
 
 
 @dataclass
@@ -26,20 +28,24 @@ class DeltaSVM:
     def num_kmers(self) -> int:
         return self.weights.filter("w <> 0").count()
 
-    def _spelled(self, seqs: DataFrame, strand: str) -> DataFrame:
-        """id, kmer, n: how often each k-mer is spelled."""
-        rows = kmers(seqs, self.l, strand).groupBy("id", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    def table(self, seqs: DataFrame) -> DataFrame:
+        """p, w: what a window of l letters adds, of all k-mers that it spells and, with
+        include_rc, of those that its reverse complement does."""
+        kmer = F.col("kmer")
+        weights = self.weights.select(kmer_index(kmer).alias("q"), "w")
+        if self.include_rc:
+            # positions of the reverse complement are the same ones in reverse: all are taken
+            weights = weights.union(self.weights.select(kmer_index(reverse_complement(kmer)), "w")).groupBy("q").agg(F.sum("w").alias("w"))
         if self.k == self.l:
-            return rows
-        picks = [F.concat(*[F.substring("kmer", i + 1, 1) for i in c]) for c in combinations(range(self.l), self.k)]
-        return rows.select("id", F.explode(F.array(*picks)).alias("kmer"), "n").groupBy("id", "kmer").agg(F.sum("n").alias("n"))
+            return materialize(weights.select(F.col("q").alias("p"), "w"), "kmer-table")
+        digit = lambda i: F.shiftright("p", 2 * (self.l - 1 - i)).bitwiseAND(F.lit(3))
+        picks = [sum((F.shiftleft(digit(i), 2 * (self.k - 1 - j)) for j, i in enumerate(c)), F.lit(0).cast("long")) for c in combinations(range(self.l), self.k)]
+        rows = wanted(seqs, self.l).select("p", F.explode(F.array(*picks)).alias("q"))
+        return materialize(rows.join(weights, "q").groupBy("p").agg(F.sum("w").alias("w")), "kmer-table")
 
     def score(self, seqs: DataFrame) -> DataFrame:
         """id, score; the bias alone for sequences shorter than l."""
-        rows = self._spelled(seqs, "+")
-        if self.include_rc:
-            rows = rows.unionByName(self._spelled(seqs, "-"))
-        f = rows.join(self.weights, "kmer").groupBy("id").agg(F.sum(F.col("n") * F.col("w")).alias("f"))
+        f = weighed(packed(seqs, self.l).withColumn("wt", F.lit(1.0)), self.table(seqs), "id")
         return seqs.select("id").join(f, "id", "left").select("id", (F.coalesce("f", F.lit(0.0)) + F.lit(self.bias)).alias("score"))
 
     def score_variants(self, ref: DataFrame, alt: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import kmer_of
 from ..functions.tables import Kernel
+from ..plans.shared import materialize
 from .kernel import coefficient, diagonal, keyed, raw_kernel
-from .windows import lmers, windows
+from .windows import lmers, wanted, weighed, windows
 
 
 @dataclass
@@ -52,9 +53,12 @@ class GkmModel:
         found = keys.join(self.marginals(), ["t", "key"])
         return found.groupBy("p").agg(F.sum(coefficient(self.kernel) * F.col("s")).alias("w"))
 
+    def table(self, seqs: DataFrame) -> DataFrame:
+        """p, w for the sequences' l-mers, written once."""
+        return materialize(self.lmer_weights(wanted(seqs, self.kernel.l)), "lmer-weights")
+
     def _raw_scores(self, seqs: DataFrame) -> DataFrame:
-        own = lmers(seqs, self.kernel)
-        return own.join(self.lmer_weights(own), "p").groupBy("id").agg(F.sum(F.col("wt") * F.col("w")).alias("f"))
+        return weighed(windows(seqs, self.kernel), self.table(seqs), "id")
 
     def score(self, seqs: DataFrame) -> DataFrame:
         """id, score of seqs(id, seq); NaN for sequences shorter than l."""

@@ -66,3 +66,16 @@ def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
         return df
     row = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))) + ROW_BYTES
     return F.broadcast(df) if (df.agg(F.sum(row)).first()[0] or 0) <= most else df
+
+
+#: A table of fewer bytes a core is dealt out to all of them: it may be one file of one row
+#: group, which a single task would read.
+SPREAD_BYTES = 16 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out to all cores if it is so small that moving it costs little; larger tables
+    have tasks enough. To be put before work that makes many rows of each."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if known < cores * SPREAD_BYTES else df
