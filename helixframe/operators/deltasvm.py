@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.sequence import kmer_index, reverse_complement
+from ..functions.tables import Kernel
 from ..plans.shared import materialize
 from .windows import packed, wanted, weighed
 
@@ -49,8 +50,13 @@ class DeltaSVM:
         return seqs.select("id").join(f, "id", "left").select("id", (F.coalesce("f", F.lit(0.0)) + F.lit(self.bias)).alias("score"))
 
     def score_variants(self, ref: DataFrame, alt: DataFrame) -> DataFrame:
-        both = self.score(alt).withColumnRenamed("score", "a").join(self.score(ref), "id")
-        return both.select("id", (F.col("a") - F.col("score")).alias("score"))
+        """id, score: of the windows that differ."""
+        from .effects import allele_lmers
+
+        plain = Kernel(0, self.l, self.k, None, normalize=False)
+        change = materialize(allele_lmers(ref, alt, plain), "changes")
+        f = weighed(change, self.table(ref.select("id", "seq").unionByName(alt.select("id", "seq"))), "id")
+        return ref.select("id").join(alt.select("id"), "id").join(f, "id", "left").select("id", F.coalesce("f", F.lit(0.0)).alias("score"))
 
     def polya_floor(self) -> DeltaSVM:
         """Weights of the all-A and all-T l-mers set to minus the bias, as the external

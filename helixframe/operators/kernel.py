@@ -71,6 +71,13 @@ def raw_of(x: DataFrame, y: DataFrame, kernel: Kernel, strategy: str | None = No
     return joined.groupBy("a_id", "b_id").agg(F.sum(value).alias("k"))
 
 
+def against(x: DataFrame, y: DataFrame, kernel: Kernel) -> DataFrame:
+    """id, p, v: for the l-mers x(id, p), the weighted sum over those of the same id in
+    y(id, p, wt)."""
+    left = keyed(x.withColumn("wt", F.lit(1.0)), kernel, "id", "p").drop("wt")
+    return left.join(keyed(y, kernel, "id"), ["id", "t", "key"]).groupBy("id", "p").agg(F.sum(coefficient(kernel) * F.col("wt")).alias("v"))
+
+
 def raw_kernel(x: DataFrame, y: DataFrame, kernel: Kernel, strategy: str | None = None, upper: bool = False) -> DataFrame:
     """a_id, b_id, k over sequences x and y (id, seq); the reverse complement is taken of y
     only. Pairs whose sequences share nothing have no row: their k is 0."""

@@ -78,11 +78,10 @@ class GkmModel:
             return 0.0
         return (self.sv.agg(F.sum("coef")).first()[0] or 0.0) * math.exp(-self.kernel.gamma)
 
-    def pairs(self, seqs: DataFrame, others: DataFrame | None = None) -> DataFrame:
-        """a_id, s_id, coef, kn: normalised kernel values with the support vectors, where not 0.
-        `others`: normalise by the self-kernels of these rows of the same ids."""
+    def pairs(self, seqs: DataFrame) -> DataFrame:
+        """a_id, s_id, coef, kn: normalised kernel values with the support vectors, where not 0."""
         raw = raw_kernel(seqs, self.sv, self.kernel)
-        da = diagonal(others if others is not None else seqs, self.kernel).select(F.col("id").alias("a_id"), F.col("k").alias("ka"))
+        da = diagonal(seqs, self.kernel).select(F.col("id").alias("a_id"), F.col("k").alias("ka"))
         db = diagonal(self.sv, self.kernel).join(self.sv.select("id", "coef"), "id").select(F.col("id").alias("b_id"), F.col("k").alias("kb"), "coef")
         z = F.greatest(F.sqrt(F.col("ka") * F.col("kb")), F.lit(1e-10)) if self.kernel.normalize or self.kernel.rbf else F.lit(1.0)
         return raw.join(da, "a_id").join(db, "b_id").select("a_id", F.col("b_id").alias("s_id"), "coef", (F.col("k") / z).alias("kn"))
@@ -95,14 +94,13 @@ class GkmModel:
 
     def score_variants(self, ref: DataFrame, alt: DataFrame, method: str = "kernel") -> DataFrame:
         """id, score: f(alt) - f(ref), or with "gkmexplain" the mutation impact."""
-        from .effects import mutation_impact
+        from .effects import mutation_impact, variant_scores
 
         if method == "gkmexplain":
             return mutation_impact(self, ref, alt)
         if method != "kernel":
             raise ValueError(f"unknown method {method!r}")
-        both = self.score(alt).withColumnRenamed("score", "a").join(self.score(ref), "id")
-        return both.select("id", (F.col("a") - F.col("score")).alias("score"))
+        return variant_scores(self, ref, alt)
 
     def to_deltasvm(self, query_norm: bool = False):
         """A linear model with a weight for each l-mer: the kernel sum on that l-mer alone."""
