@@ -86,7 +86,7 @@ def parser() -> argparse.ArgumentParser:
     command("train", (("-p", "--positive"), need), (("-n", "--negative"), need), out, (("-w", "--pos-weight"), {"type": float, "default": 1.0}), kernel=True)
     command("trainsvr", i, (("--labels",), need), out, (("--epsilon",), {"type": float, "default": 0.1}), kernel=True)
     command("ism", m, i, out)
-    command("explain", m, i, out, (("-s", "--mode"), {"default": "importance", "choices": ["importance", "hypothetical", "perturbation"]}))
+    command("explain", m, i, out, (("-s", "--sequences-output"), need))
     command("deltasvm", (("-w", "--weights"), need), i, o, (("-l",), {"type": int, "default": 11}), (("--no-rc",), {"action": "store_true"}))
     command("to-deltasvm", m, out, (("--query-norm",), {"action": "store_true"}), inputs=False)
     command("score-variants", m, (("--ref",), need), (("--alt",), need), o, (("--method",), {"default": "kernel", "choices": ["kernel", "gkmexplain"]}))
@@ -116,13 +116,12 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     elif args.command == "trainsvr":
         seqs = sequences(spark, args.input, args, CROP).join(read_labels(spark, args.labels), "id")
         models.save_model(train_svr(seqs, kernel_of(args), args.C, args.epsilon, args.solver, max_gram_gb=args.cache_size), args.output)
-    elif args.command in ("ism", "explain"):
+    elif args.command == "ism":
         seqs = sequences(spark, args.input, args, model_length(model))
-        values = effects.ism(model, seqs) if args.command == "ism" else explain(model, seqs, args.mode)
-        if args.output.endswith(".npz"):
-            models.export_npz(values, seqs, args.output)
-        else:
-            values.write.parquet(args.output)
+        models.export_npz(effects.ism(model, seqs), seqs, args.output)
+    elif args.command == "explain":
+        seqs = sequences(spark, args.input, args, model_length(model))
+        models.export_npz_pair(explain(model, seqs, "hypothetical"), seqs, args.output, args.sequences_output)
     elif args.command == "deltasvm":
         linear = models.load_deltasvm(spark, args.weights, args.l, False if args.no_rc else None)
         seqs = sequences(spark, args.input, args, None)

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.prefix import running
+from ..plans.shared import materialize, sized
 
 
 def _levels(rows: DataFrame, score: str, label: str) -> DataFrame:
@@ -52,17 +53,36 @@ def agreement(rows: DataFrame, a: str, b: str, floor: float = 1e-3) -> DataFrame
     )
 
 
+def draw(key: str | Column, seed: int = 0) -> Column:
+    """A number below 2 ** 52, the same wherever it is drawn for the same key and seed."""
+    name = F.md5(F.concat(F.lit(f"{seed}:"), (F.col(key) if isinstance(key, str) else key).cast("string")))
+    return F.conv(F.substring(name, 1, 13), 16, 10).cast("long")
+
+
+def drawn(pool: DataFrame, want: DataFrame, stratum: list[str], key: str = "id", seed: int = 0) -> DataFrame:
+    """From pool, `want` rows of each stratum, those with the smallest draws. Rows are ranked
+    among those whose draws are below what gives a few more than wanted, so a large stratum
+    isn't ordered in one task; should some stratum come short of it, all its rows are."""
+    sizes = pool.groupBy(*stratum).agg(F.count(F.lit(1)).alias("_n"))
+    strata = materialize(want.join(sizes, stratum).withColumn("_want", F.least("want", "_n")).drop("want"), "strata")
+    likely = (F.col("_want") + F.sqrt("_want") * 6 + 20) / F.col("_n") * F.lit(float(1 << 52))
+    rows = pool.join(sized(strata), stratum).withColumn("_draw", draw(key, seed))
+    near = rows.filter(F.col("_draw") < likely)
+    order = W.partitionBy(*stratum).orderBy("_draw", key)
+    pick = lambda some: some.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= F.col("_want")).select(*pool.columns)
+    short = strata.join(near.groupBy(*stratum).agg(F.count(F.lit(1)).alias("_got")), stratum, "left").filter(F.coalesce("_got", F.lit(0)) < F.col("_want"))
+    return pick(rows if short.limit(1).count() else near)
+
+
 def matched_sample(pool: DataFrame, like: DataFrame, stratum: list[str], key: str = "id", seed: int = 0, fill: bool = True) -> DataFrame:
     """From pool, as many rows of each stratum as `like` has, in an order fixed by the seed;
     with `fill`, strata that run short are made up from the rest of the pool."""
-    want = like.groupBy(*stratum).agg(F.count(F.lit(1)).alias("want"))
-    order = W.partitionBy(*stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
-    picked = pool.join(want, stratum).withColumn("place", F.row_number().over(order)).filter("place <= want").drop("place", "want")
+    picked = drawn(pool, like.groupBy(*stratum).agg(F.count(F.lit(1)).alias("want")), stratum, key, seed)
     if not fill:
         return picked
+    picked = materialize(picked, "matched")
     missing = like.count() - picked.count()
-    rest = pool.join(picked.select(key), key, "left_anti").orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(max(0, missing))
-    return picked.unionByName(rest)
+    return picked.unionByName(subsample(pool.join(picked.select(key), key, "left_anti"), max(0, missing), key, seed))
 
 
 def gc_bin(seq: Column, bins: int = 20) -> Column:
@@ -72,17 +92,15 @@ def gc_bin(seq: Column, bins: int = 20) -> Column:
 
 def subsample(rows: DataFrame, n: int, key: str = "id", seed: int = 0) -> DataFrame:
     """n rows without replacement, fixed by the seed."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return rows.orderBy(draw(key, seed), key).limit(n)
 
 
 def subset_vectors(sv: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n support vectors, with the share of positive coefficients kept."""
-    sign = F.col("coef") > 0
-    total, positive = sv.agg(F.count(F.lit(1)), F.count_if(sign)).first()
+    total, positive = sv.agg(F.count(F.lit(1)), F.count_if(F.col("coef") > 0)).first()
     take = round(n * positive / total) if total else 0
-    order = W.partitionBy("sign").orderBy(F.xxhash64(F.lit(seed), F.col("id")), "id")
-    rows = sv.withColumn("sign", sign).withColumn("place", F.row_number().over(order))
-    return rows.filter(F.col("place") <= F.when(F.col("sign"), take).otherwise(n - take)).drop("sign", "place")
+    want = sv.sparkSession.createDataFrame([(True, take), (False, n - take)], "_sign boolean, want long")
+    return drawn(sv.withColumn("_sign", F.col("coef") > 0), want, ["_sign"], "id", seed).drop("_sign")
 
 
 def top_positions(attributions: DataFrame, n: int) -> DataFrame:

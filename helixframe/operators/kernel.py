@@ -78,10 +78,14 @@ def against(x: DataFrame, y: DataFrame, kernel: Kernel) -> DataFrame:
     return left.join(keyed(y, kernel, "id"), ["id", "t", "key"]).groupBy("id", "p").agg(F.sum(coefficient(kernel) * F.col("wt")).alias("v"))
 
 
-def raw_kernel(x: DataFrame, y: DataFrame, kernel: Kernel, strategy: str | None = None, upper: bool = False) -> DataFrame:
-    """a_id, b_id, k over sequences x and y (id, seq); the reverse complement is taken of y
-    only. Pairs whose sequences share nothing have no row: their k is 0."""
-    return raw_of(lmers(x, kernel), lmers(y, kernel, kernel.include_rc), kernel, strategy, upper=upper)
+def raw_kernel(x: DataFrame, y: DataFrame, kernel: Kernel, strategy: str | None = None, upper: bool = False, rc_of: str | None = None) -> DataFrame:
+    """a_id, b_id, k over sequences x and y (id, seq). Reverse complements are taken of one side
+    only, as K(x, rc y) = K(rc x, y): of the smaller one by Spark's estimate, or of `rc_of` ("x"
+    or "y"). Pairs whose sequences share nothing have no row: their k is 0."""
+    if kernel.include_rc and rc_of is None:
+        size = lambda df: int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        rc_of = "x" if size(x) < size(y) else "y"
+    return raw_of(lmers(x, kernel, kernel.include_rc and rc_of == "x"), lmers(y, kernel, kernel.include_rc and rc_of == "y"), kernel, strategy, upper=upper)
 
 
 def diagonal(x: DataFrame, kernel: Kernel, strategy: str | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.shared import materialize
+
 
 def chunked(genome: DataFrame, chunk: int, reach: int) -> DataFrame:
     """genome(chrom, seq) in pieces of `chunk` letters that run on by `reach`, so a window
@@ -33,8 +35,8 @@ def overlapping(left: DataFrame, right: DataFrame, how: str = "left_semi", bin_s
     """Rows of left (chrom, start, end) that overlap a row of right, or that don't
     (left_anti). Intervals are dealt to the bins they touch; a pair meets in its bins only."""
     bins = lambda: F.explode(F.sequence(F.floor(F.col("start") / bin_size), F.floor((F.greatest("end", F.col("start") + 1) - 1) / bin_size)))
-    key = left.withColumn("_id", F.struct(*left.columns))
-    a = key.select("_id", "chrom", "start", "end").distinct().withColumn("bin", bins())
+    key = materialize(left, "intervals").withColumn("_id", F.monotonically_increasing_id())
+    a = key.select("_id", "chrom", "start", "end").withColumn("bin", bins())
     b = right.select("chrom", F.col("start").alias("s"), F.col("end").alias("e")).distinct()
     b = b.withColumn("bin", F.explode(F.sequence(F.floor(F.col("s") / bin_size), F.floor((F.greatest("e", F.col("s") + 1) - 1) / bin_size))))
     met = a.join(b, (a["chrom"] == b["chrom"]) & (a["bin"] == b["bin"]) & (F.col("s") < F.col("end")) & (F.col("e") > F.col("start")), "left_semi")

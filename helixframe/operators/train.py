@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import Kernel
-from ..plans.shared import materialize
+from ..plans.shared import materialize, sized
 from .evaluate import subsample
 from .kernel import diagonal, gram, normalized, raw_kernel
 from .model import GkmModel
 
+#: Bytes of kernel values that are fetched at a time.
+FETCH_BYTES = 64 << 20
 SOLVERS = ("auto", "libsvm", "smo", "nystrom")
 
 
@@ -108,11 +110,16 @@ def _indexed(seqs: DataFrame, kernel: Kernel) -> DataFrame:
 
 
 def _matrix(rows: DataFrame, kernel: Kernel, n: int, rest: float) -> np.ndarray:
+    """The dense kernel matrix. It is stored first and fetched some rows at a time, so the
+    driver holds little besides the matrix itself."""
     out = np.full((n, n), rest)
-    pairs = gram(rows, kernel).toPandas()
-    a, b, k = (pairs[c].to_numpy() for c in ("a_id", "b_id", "k"))
-    out[a, b] = k
-    out[b, a] = k
+    table = materialize(gram(rows, kernel).repartitionByRange("a_id"), "gram")
+    step = max(1, FETCH_BYTES // (24 * n))
+    for lo in range(0, n, step):
+        part = table.filter(F.col("a_id").between(lo, lo + step - 1)).toArrow()
+        a, b, k = (part.column(c).to_numpy() for c in ("a_id", "b_id", "k"))
+        out[a, b] = k
+        out[b, a] = k
     return out
 
 
@@ -148,7 +155,7 @@ def _model(rows: DataFrame, coef: np.ndarray, rho: float, kernel: Kernel) -> Gkm
     used = np.flatnonzero(np.abs(coef) > 1e-10)
     spark = rows.sparkSession
     table = spark.createDataFrame([(int(i), float(coef[i])) for i in used], "id long, coef double")
-    return GkmModel(materialize(rows.join(F.broadcast(table), "id").select("id", "seq", "coef"), "sv"), kernel, -rho)
+    return GkmModel(materialize(rows.join(sized(table), "id").select("id", "seq", "coef"), "sv"), kernel, -rho)
 
 
 def train_svc(positive: DataFrame, negative: DataFrame, kernel: Kernel | None = None, C: float = 1.0, pos_weight: float = 1.0, solver: str = "auto", landmarks: int = 1000, seed: int = 42, tolerance: float = 1e-3, max_gram_gb: float = 4.0) -> GkmModel:

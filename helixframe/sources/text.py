@@ -21,7 +21,10 @@ def read_bytes(spark: SparkSession, path: str) -> bytes:
 def gzipped(spark: SparkSession, path: str) -> bool:
     """By the first two bytes, whatever the name."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getFileStatus(where).isDirectory():
+        return False
+    stream = system.open(where)
     try:
         return (stream.read(), stream.read()) == (0x1F, 0x8B)
     finally:
@@ -29,7 +32,7 @@ def gzipped(spark: SparkSession, path: str) -> bool:
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value (a line of one file, trimmed) and its place: block, mono. Spark unpacks by suffix;
+    """value (a line of a file, or of a folder's files, trimmed) and its place: block, mono. Spark unpacks by suffix;
     a gzip'd file of another name is unpacked on the driver."""
     if gzipped(spark, path) and not path.endswith(".gz"):
         lines = read_bytes(spark, path).decode().splitlines()
@@ -38,6 +41,17 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("block", "mono", F.regexp_replace("value", r"^\s+|\s+$", "").alias("value"))
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A (model) file, on any file system that Spark knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        for at in range(0, len(data), 1 << 20):
+            stream.write(bytearray(data[at : at + (1 << 20)]))
+    finally:
+        stream.close()
+
+
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     """id (place in the file, from 0), name (the header line), seq. Records are split where a
     line starts with '>'; what stands before the first is dropped."""
@@ -84,6 +98,21 @@ def write_scores(scores: DataFrame, path: str) -> None:
     scores.select("name", F.format_string("%.6f", "score").alias("score")).write.option("sep", "\t").option("header", True).csv(path)
 
 
+def write_table(rows: DataFrame, path: str, notes: dict[str, str]) -> None:
+    """A result table under lines of provenance, as `# name: value`, in one file."""
+    head = "".join(f"# {name}: {value}\n" for name, value in notes.items()) + "\t".join(rows.columns) + "\n"
+    cells = F.concat_ws("\t", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in rows.columns])
+    lines = rows.sparkSession.createDataFrame([(head.removesuffix("\n"),)], "value string").union(rows.select(cells.alias("value")))
+    lines.coalesce(1).write.text(path)
+
+
+def read_notes(spark: SparkSession, path: str) -> DataFrame:
+    """name, value of the lines of provenance."""
+    lines = spark.read.text(path).filter(F.col("value").startswith("#"))
+    parts = F.split(F.regexp_replace("value", r"^#\s*", ""), r":\s*", 2)
+    return lines.select(parts[0].alias("name"), F.get(parts, F.lit(1)).alias("value"))
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Result tables with lines of provenance that start with '#'."""
     return spark.read.option("sep", "\t").option("header", True).option("comment", "#").option("inferSchema", True).csv(path)
