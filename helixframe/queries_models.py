@@ -284,7 +284,7 @@ def _loaded_sql(kern: Kernel, bias: float) -> str:
 
 
 _RBF_TOTAL = _with(*_tables(RADIAL, "items"), _SV, _scores("items", RADIAL, "f"))
-_OPTIMAL = "SELECT 0 AS broken, 0.0::DOUBLE AS balance, {0} * count(*) AS n FROM benchmark"
+_OPTIMAL = "SELECT 0::BIGINT AS broken, 0.0::DOUBLE AS balance, {0} * count(*) AS n FROM benchmark"
 
 ORACLE_SQL = {
     "gkm_brute": FIRST["gkm_cnt_raw"],
@@ -320,5 +320,5 @@ ORACLE_SQL = {
     "svc_conditions": _OPTIMAL.format(2),
     "svc_conditions_by_columns": _OPTIMAL.format(2),
     "svr_conditions": _OPTIMAL.format(1),
-    "nystrom_of_all": "SELECT 0 AS different, count(*) AS n FROM benchmark",
+    "nystrom_of_all": "SELECT 0::BIGINT AS different, count(*) AS n FROM benchmark",
 }
