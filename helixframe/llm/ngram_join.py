@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LONGEST, materialize, sized, without, worker_cache
+from .common import LONGEST, materialize, without, worker_cache
 
 #: N-grams (8 bytes each) of a block of a bucket, each member counting for MEMBER more.
 BLOCK = 1 << 19
@@ -234,6 +234,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _key(doc_id: str):
+    """doc_id as text; a null one, too, is a key."""
+    return F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("-"))
+
+
 def _joined(docs: DataFrame, words: int, threshold: float, rows: int, recall: float) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, sha) and entries (sha, rep, copies, n, comp, links)."""
     bands = bands_for(threshold, rows, recall)
@@ -244,28 +249,34 @@ def _joined(docs: DataFrame, words: int, threshold: float, rows: int, recall: fl
     buckets = places.groupBy("band", "h").agg(
         F.count(F.lit(1)).alias("m"), F.sum(F.col("n") + MEMBER).alias("grams"), F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2")
     ).filter("m > 1")
-    buckets = buckets.groupBy("m", "grams", "x1", "x2").agg(F.min(F.struct("band", "h")).alias("b")).select(F.ceil(F.col("grams") / BLOCK).cast("int").alias("blocks"), "b.band", "b.h")
-    met = places.join(buckets, ["band", "h"]).groupBy("id").agg(F.collect_list(F.struct("band", "h", "blocks")).alias("met"))
-    wanted = materialize(entries.join(met, "id").select("id", "rep", F.col("sha").alias("s"), "copies", "bands", "met"), "join-candidates")
+    buckets = buckets.groupBy("m", "grams", "x1", "x2").agg(F.min(F.struct("band", "h")).alias("b")).select("grams", "b.band", "b.h")
+    met = places.join(buckets, ["band", "h"]).groupBy("id").agg(F.collect_list(F.struct("band", "h", "grams")).alias("met"))
+    wanted = materialize(entries.join(met, "id").select("id", _key("rep").alias("key"), "sha", "copies", "n", "bands", "met"), "join-candidates")
     text = F.coalesce(F.col("text"), F.lit(""))
-    texts = docs.select(F.col("doc_id").cast("long"), F.sha2(text, 256).alias("sha"), "text")
-    texts = texts.join(sized(wanted), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("sha") == F.col("s"))).select("id", "copies", "bands", "met", "text")
+    texts = docs.select(_key("doc_id").alias("key"), F.sha2(text, 256).alias("sha"), "text")
+    # as many candidates as the corpus has: Spark broadcasts their keys if it finds them small
+    texts = texts.join(wanted.select("key", "sha", "id"), ["key", "sha"]).select("id", "text")
 
     def to_sets(batches):
         cache = worker_cache(("word hashes",), dict)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array([shingles(t.as_py(), words, cache).tobytes() for t in part.column(4)], pa.binary())], names=["id", "copies", "bands", "met", "set"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), words, cache).tobytes() for t in part.column(1)], pa.binary())], names=["id", "set"])
 
-    sets = texts.mapInArrow(to_sets, "id long, copies long, bands array<long>, met array<struct<band:int,h:bigint,blocks:int>>, set binary")
+    sets = texts.mapInArrow(to_sets, "id long, set binary").groupBy("id").agg(F.max("set").alias("set"))  # equal rows are one
+    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # blocks of at most BLOCK n-grams, and smaller ones where that gives too few groups to go round
+    grams = wanted.agg(F.sum((F.col("n") + MEMBER) * F.size("met"))).first()[0] or 0
+    block = min(BLOCK, max(BLOCK >> 5, grams // (2 * n_parts)))
     spread = (
-        sets.select("id", "copies", "bands", "set", F.inline("met"))
+        sets.join(wanted.select("id", "copies", "bands", "met"), "id")
+        .select("id", "copies", "bands", "set", F.inline("met"))
+        .withColumn("blocks", F.ceil(F.col("grams") / block).cast("int"))
         .withColumn("own", F.pmod(F.xxhash64("id", F.lit(5)), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("band", "h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "copies", "bands", "set")
     )
-    n_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     spread = spread.repartition(n_parts, "band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j", "id")
     schema = pa.schema([("id", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
