@@ -103,6 +103,26 @@ def test_effects_and_attributions(spark, k):
     assert m.score_variants(x, alt).first().score == pytest.approx(score(s[:5] + "T" + s[6:], rows, k) - score(s, rows, k), abs=1e-9)
 
 
+@pytest.mark.parametrize("k", [*KERNELS, Kernel(5, 5, 3, 2, M=5, H=2.0, gamma=1.5), Kernel(0, 5, 3, None, normalize=False)])
+def test_changes_of_any_kind_equal_rescoring(spark, k):
+    """Substitutions, insertions, deletions at both ends and inside, equal and short sequences."""
+    rows, m = model(spark, k)
+    s = SEQS[3][1]
+    pairs = [(s, s), (s, s[:6] + "gg" + s[6:]), (s, s[:4] + s[7:]), (s, "t" + s), (s, s + "ac"), (s, s[2:]), (s, s[:-3]), (s, "ACGTACGTAC"), (s, "ACG"), ("AC", s), ("aaaaaaaaaa", "aaaaaaaaaaaaa"), (s, s[:5] + "n" + s[6:])]
+    ref, alt = (frame(spark, [(i, p[j]) for i, p in enumerate(pairs)]) for j in (0, 1))
+    got = {r.id: r.score for r in m.score_variants(ref, alt).collect()}
+    for i, (a, b) in enumerate(pairs):
+        want = math.nan if min(len(a), len(b)) < k.l else score(b, rows, k) - score(a, rows, k)
+        assert got[i] == pytest.approx(want, abs=1e-9, nan_ok=True), (a, b)
+
+
+def test_reverse_complements_of_either_side(spark):
+    k = KERNELS[3]
+    x, y = frame(spark, SEQS[:2]), frame(spark, SEQS[1:])
+    both = [{(r.a_id, r.b_id): r.k for r in kernel.raw_kernel(x, y, k, rc_of=side).collect()} for side in ("x", "y")]
+    assert both[0] == pytest.approx(both[1])
+
+
 def test_unnormalised_ism_equals_rescoring(spark):
     k = Kernel(0, 4, 2, None, normalize=False)
     rows, m = model(spark, k)

@@ -111,6 +111,27 @@ def test_overlaps(spark):
     assert {r.id for r in loci.overlapping(a, b, bin_size=16).collect()} == want
 
 
+def test_matched_sampling_fills_short_strata(spark):
+    pool = spark.createDataFrame([(i, i % 10) for i in range(3000)] + [(9000 + i, 50) for i in range(3)], "id long, bin int")
+    like = spark.createDataFrame([(i, i % 2) for i in range(400)] + [(500 + i, 50) for i in range(10)] + [(600, 77)], "id long, bin int")
+    got = evaluate.matched_sample(pool, like, ["bin"], seed=4).collect()
+    counts = {b: sum(r.bin == b for r in got) for b in (0, 1, 50)}
+    assert len(got) == 411 == len({r.id for r in got}) and counts[50] == 3 and min(counts[0], counts[1]) >= 200
+    assert got == evaluate.matched_sample(pool, like, ["bin"], seed=4).collect()
+    bare = evaluate.matched_sample(pool, like, ["bin"], fill=False)
+    assert {r["bin"]: r["count"] for r in bare.groupBy("bin").count().collect()} == {0: 200, 1: 200, 50: 3}
+
+
+def test_support_vectors_missing_from_the_fasta(spark, tmp_path):
+    (tmp_path / "a.out").write_text("p0\t0.5\np1\t-0.25\n\n")
+    (tmp_path / "s.fa").write_text(">p0 x\nACGTNNAC\nGTAC\n>p1\nggttaaccgg\n")
+    m = models.load_classic(spark, str(tmp_path / "a.out"), str(tmp_path / "s.fa"))
+    assert [tuple(r) for r in m.sv.orderBy("id").collect()] == [(0, "ACGTACGTAC", 0.5), (1, "GGTTAACCGG", -0.25)] and m.kernel.kind == 2
+    (tmp_path / "a.out").write_text("p0 1\np9 2\n")
+    with pytest.raises(ValueError, match="p9"):
+        models.load_classic(spark, str(tmp_path / "a.out"), str(tmp_path / "s.fa"))
+
+
 def test_metrics_with_ties(spark):
     rows = spark.createDataFrame([(0.1, 0), (0.5, 1), (0.5, 0), (0.9, 1), (0.2, 1)], "score double, label int")
     assert evaluate.auroc(rows).first()[0] == pytest.approx(4.5 / 6)
