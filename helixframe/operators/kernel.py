@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.sequence import mismatches
 from ..functions.tables import Kernel, masks, neighbour_bits
+from . import local
 from .windows import lmers
 
 
@@ -65,7 +66,7 @@ def raw_of(x: DataFrame, y: DataFrame, kernel: Kernel, strategy: str | None = No
         raise ValueError(f"unknown strategy {strategy!r}")
     if same:
         right, on = right.withColumn("a_id", F.col("b_id")), [*on, "a_id"]
-    joined = left.join(right, on)
+    joined = left.join(right.hint("merge"), on)  # Spark takes the size before windows are cut, and would broadcast
     if upper:
         joined = joined.filter("a_id <= b_id")
     return joined.groupBy("a_id", "b_id").agg(F.sum(value).alias("k"))
@@ -89,10 +90,10 @@ def raw_kernel(x: DataFrame, y: DataFrame, kernel: Kernel, strategy: str | None
 
 
 def diagonal(x: DataFrame, kernel: Kernel, strategy: str | None = None) -> DataFrame:
-    """id, k: each sequence's kernel with itself."""
-    if strategy is None:  # all pairs of a short sequence's own l-mers are fewer than its masked rows
-        most = x.agg(F.max(F.length("seq"))).first()[0] or 0
-        strategy = "brute" if most <= 4 * len(masks(kernel.h)) else "masked"
+    """id, k: each sequence's kernel with itself, made where the sequence is unless a strategy
+    is asked for."""
+    if strategy is None:
+        return local.diagonal(x, kernel)
     out = raw_of(lmers(x, kernel), lmers(x, kernel, kernel.include_rc), kernel, strategy, same=True)
     return out.select(F.col("a_id").alias("id"), "k")
 
@@ -108,6 +109,8 @@ def normalized(raw: DataFrame, kernel: Kernel, diag_a: DataFrame, diag_b: DataFr
 
 def pairwise(x: DataFrame, y: DataFrame, kernel: Kernel, strategy: str | None = None) -> DataFrame:
     """Kernel values as the model uses them."""
+    if strategy is None and all(a > 0 for _, a in masks(kernel.h)) and local.few(y, kernel):
+        return local.pairwise(x, y, kernel)
     raw = raw_kernel(x, y, kernel, strategy)
     if not (kernel.normalize or kernel.rbf):
         return raw
