@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import kmer_of
 from ..functions.tables import Kernel
 from ..plans.shared import materialize
+from . import local
 from .kernel import coefficient, diagonal, keyed, raw_kernel
 from .windows import lmers, wanted, weighed, windows
 
@@ -63,6 +64,8 @@ class GkmModel:
     def score(self, seqs: DataFrame) -> DataFrame:
         """id, score of seqs(id, seq); NaN for sequences shorter than l."""
         kernel = self.kernel
+        if local.fits(self):
+            return local.score(self, seqs)
         if kernel.rbf:
             f = self._rbf(seqs)
         else:
