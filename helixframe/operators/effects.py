@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.sequence import BASES, DIGITS, forward
 from ..functions.tables import Kernel
 from ..plans.shared import materialize
+from . import local
 from .kernel import against, diagonal, raw_kernel, raw_of
 from .windows import ALL_LMERS, lmers, packed, weighed, weight
 
@@ -158,6 +159,9 @@ def _with_short(rows: DataFrame, ref: DataFrame, alt: DataFrame, l: int) -> Data
 
 def variant_scores(model, ref: DataFrame, alt: DataFrame) -> DataFrame:
     """id, score = f(alt) - f(ref)."""
+    if local.fits(model):
+        changed = model.score(alt).withColumnRenamed("score", "changed")
+        return model.score(ref).join(changed, "id").select("id", (F.col("changed") - F.col("score")).alias("score"))
     items = ref.select("id", F.col("id").alias("of"))
     return _with_short(differences(model, ref, items, allele_lmers(ref, alt, model.kernel)), ref, alt, model.kernel.l)
 
