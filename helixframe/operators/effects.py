@@ -142,6 +142,8 @@ def differences(model, seqs: DataFrame, items: DataFrame, change: DataFrame) ->
 def ism(model, seqs: DataFrame) -> DataFrame:
     """id, pos, base, value = f(mutant) - f(sequence), each with its own norm; 0 at the
     sequence's own base, NaN for sequences shorter than l."""
+    if local.fits(model):
+        return local.ism(model, seqs)
     l = model.kernel.l
     letters = seqs.select("id", forward(F.col("seq")).alias("s")).filter(F.length("s") > 0).withColumn("pos", F.explode(F.sequence(F.lit(0), F.length("s") - 1)))
     letters = letters.select("id", "pos", F.substring(F.col("s"), F.col("pos") + 1, F.lit(1)).alias("own"), (F.length("s") < l).alias("short"), F.explode(F.array(*[F.lit(b) for b in BASES])).alias("base"))

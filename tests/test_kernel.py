@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from helixframe.functions import sequence as S
 from helixframe.functions.tables import Kernel, mask_levels, masks, neighbour_bits, resolve_kernel_type
-from helixframe.operators import effects, kernel
+from helixframe.operators import effects, kernel, local
 from helixframe.operators.explain import completeness, explain
 from helixframe.operators.model import GkmModel
 
@@ -162,3 +162,36 @@ def test_one_hot_of_nothing(spark):
     code = S.one_hot(F.col("seq"))
     rows = x.select(S.is_one_hot(code).alias("v"), S.one_hot_decode(code).alias("d"), S.decode_codes(S.codes(F.col("seq"))).alias("c")).collect()
     assert [tuple(r) for r in rows] == [(True, "", ""), (True, None, None), (True, "GAA", "GAA")]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("k", [Kernel(0, 5, 3, None), Kernel(6, 5, 3, None, gamma=2.0), Kernel(5, 5, 3, 2, M=5, H=2.0, gamma=2.0)], ids=str)
+def test_kernels_in_place(spark, k, monkeypatch):
+    """Nothing but small rows of vectors is broadcast, nothing is shuffled by window, and the joins give the same."""
+    x = frame(spark, [*SEQS, (4, "ACG"), (5, "TTTTTTTTTTTTTTTTTTTTTTTT")])
+    short = x.select("id", F.expr("substring(seq, 1, length(seq) - 1)").alias("seq"))
+    _, m = model(spark, k)
+    calls = (lambda: m.score(x), lambda: m.score_variants(x, short), lambda: effects.ism(m, x), lambda: kernel.pairwise(x, m.sv, k))
+    here = [f() for f in calls]
+    for df in (here[0], here[2], kernel.diagonal(x, k)):
+        assert "Broadcast" not in plan(df) and "hashpartitioning" not in plan(df)
+    assert "Broadcast" not in plan(kernel.raw_of(kernel.lmers(x, k), kernel.lmers(x, k), k, "masked"))
+    here = [df.collect() for df in here]
+    monkeypatch.setattr(local, "DENSE", 0)
+    for rows, f in zip(here, calls, strict=True):
+        got, want = ({tuple(r)[:-1]: r[-1] for r in y} for y in (rows, f().collect()))
+        assert len(got) == len(rows) and got.keys() == want.keys()
+        assert all(np.isclose(got[i], want[i], rtol=1e-7, atol=1e-7, equal_nan=True) for i in want)
+
+
+def test_self_kernels_of_any_length(spark):
+    for k in (Kernel(2, 11, 7, 3), Kernel(4, 9, 5, 2, M=5, H=2.0), Kernel(0, 4, 2, None)):
+        for s in ("GATTACAGATTACAGGTACC", "ACGTTGCA" * 40, "A" * 300, "ACG"):
+            p = local.packed(s.translate(str.maketrans("ACGT", "0123")), k.l)
+            by_masks = float(local.weights(k, len(p)) @ sum((a * np.array([((q[None] & mask) == (p[:, None] & mask)) @ w for q, w in [local.strands(k, p, local.weights(k, len(p)))]][0]) for mask, a in masks(k.h)), np.zeros(len(p))))
+            assert np.isclose(local.own(k, p), by_masks, rtol=1e-7) and (len(s) > 40 or np.isclose(local.own(k, p), naive(s, s, k)))
+    with pytest.raises(ValueError):
+        local.packed("01-2", 2)
