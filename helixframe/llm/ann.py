@@ -13,8 +13,10 @@ that any result can show of them, so a vector that fills a third of the table we
 more than any other.
 
 Entries are dealt in chunks of neighbouring cells and queries in blocks of neighbouring
-cells, both of bounded size; a query goes to the chunks that it visits, and a chunk to the
-blocks that visit it, so work and copies grow with what is visited.
+cells, both of bounded size. Chunks make up at most SPANS spans. A query goes to the spans
+that it visits, and a chunk to the blocks that visit it; a task reads a block's queries and
+then the span's chunks one after the other, and keeps each query's nearest so far. So work
+and copies grow with what is visited, and the rows of results with the queries alone.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components take no
 part; vectors of different lengths have no inner product, so each length has an index of its
@@ -38,6 +40,8 @@ from .common import materialize, sized
 
 #: Most entries of a chunk and queries of a block; fewer where there are few for each task.
 CHUNK, BLOCK = 32_768, 8_192
+#: Most parts of the index that make results for a query each.
+SPANS = 8
 #: Queries of the sample that set the share.
 PROBES = 256
 RESULT = "query_id long, rank int, vec_id long, score double"
@@ -157,54 +161,99 @@ def _search(entries: DataFrame, ids: DataFrame, k: int, centroids: int, recall:
     chunk, chunks = dealt(counts, max(1024, min(CHUNK, total // (2 * tasks))))
     block, blocks = dealt(queries, BLOCK)
     held = np.nonzero(counts)
+    last = int((chunk + chunks)[held].max()) if len(held[0]) else 1
     cells = spark.createDataFrame(
         pd.DataFrame({"a": held[0], "b": held[1], "chunk": chunk[held], "chunks": chunks[held], "block": block[held], "blocks": blocks[held]}).astype("int32"), "a int, b int, chunk int, chunks int, block int, blocks int"
     )  # at most centroids ** 2 rows
     among = lambda group: (F.col(group) + F.pmod(F.xxhash64("entry"), F.col(f"{group}s"))).cast("int").alias(group)
     placed = index.join(F.broadcast(cells), ["a", "b"])
 
-    visit = pa.schema([("entry", pa.int64()), ("block", pa.int32()), ("x", pa.binary()), ("least", pa.float64()), ("chunk", pa.int32())])
+    visit = pa.schema([("entry", pa.int64()), ("block", pa.int32()), ("x", pa.binary()), ("least", pa.float64()), ("span", pa.int32()), ("met", pa.list_(pa.int32())), ("fresh", pa.list_(pa.int32()))])
 
     def probe(batches):
+        seen = set()  # a block's chunks are named once per task
         for batch in batches:
             out = []
-            for i, data in enumerate(batch.column(2).to_pylist()):
+            for entry, block, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 x = np.frombuffer(data)
                 pairs, least = traverse(books[0] @ x[:half], books[1] @ x[half:], counts, budget)
                 met = tuple(np.array(pairs).T)
                 to = np.unique(np.repeat(chunk[met], chunks[met]) + np.concatenate([np.arange(n) for n in chunks[met]]))
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.full(len(to), batch.column(0)[i].as_py())), pa.array(np.full(len(to), batch.column(1)[i].as_py(), np.int32)), pa.array([data] * len(to), pa.binary()), pa.array(np.full(len(to), least)), pa.array(to.astype(np.int32))], schema=visit))
-                if len(out) >= 64:
-                    yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                span = to * SPANS // last
+                for one in np.unique(span).tolist():
+                    own = to[span == one].tolist()
+                    fresh = [c for c in own if (block, c) not in seen]
+                    seen.update((block, c) for c in fresh)
+                    out.append((entry, block, data, least, one, own, fresh))
+                if len(out) >= 512:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), visit, strict=True)], schema=visit)
                     out = []
             if out:
-                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), visit, strict=True)], schema=visit)
 
     asking = placed.filter("asked").select("entry", among("block"), "x").repartition(2 * tasks, "entry")
-    visits = materialize(asking.mapInArrow(probe, "entry long, block int, x binary, least double, chunk int"), "ann-visits")
-    wanted = visits.select(F.col("chunk").alias("to"), F.col("block").alias("from")).distinct()
-    there = placed.select(among("chunk"), "a", "b", "x", "ids").join(sized(wanted), F.col("chunk") == F.col("to")).select("chunk", F.col("from").alias("block"), "a", "b", "x", "ids")
-
-    def rank(asked: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(there):
-            vectors = np.frombuffer(b"".join(there["x"]), dtype=np.float64).reshape(len(there), -1)
-            a, b, ids = there["a"].to_numpy(), there["b"].to_numpy(), there["ids"].tolist()
-            step = max(1, (1 << 20) // len(there))
-            for at in range(0, len(asked), step):
-                part = asked.iloc[at : at + step]
-                x = np.frombuffer(b"".join(part["x"]), dtype=np.float64).reshape(len(part), -1)
+    visits = materialize(asking.mapInArrow(probe, "entry long, block int, x binary, least double, span int, met array<int>, fresh array<int>"), "ann-visits")
+    wanted = visits.select(F.explode("fresh").alias("to"), F.col("block").alias("from")).distinct()
+    there = placed.select(among("chunk"), "a", "b", "x", "ids").join(sized(wanted), F.col("chunk") == F.col("to"))
+    span = F.floor(F.col("chunk") * SPANS / last).cast("int").alias("span")
+    there = there.select(span, F.col("from").alias("block"), "chunk", "x", "a", "b", "ids")
+    asked = visits.select("span", "block", F.lit(-1).alias("chunk"), "x", "entry", "least", "met")
+
+    def rank(batches):
+        at, asked, ahead, size = None, [], [], 0
+
+        def meet():
+            """The held entries of a chunk and the queries that visit it."""
+            rows = pa.Table.from_batches(ahead)
+            vectors = np.frombuffer(b"".join(rows.column("x").to_pylist()), dtype=np.float64).reshape(rows.num_rows, -1)
+            a, b, ids = rows.column("a").to_numpy(), rows.column("b").to_numpy(), rows.column("ids").to_pylist()
+            here = [q for q in asked if at[2] in q["met"]]
+            step = max(1, (1 << 20) // len(vectors))
+            for lo in range(0, len(here), step):
+                part = here[lo : lo + step]
+                x = np.frombuffer(b"".join(q["x"] for q in part), dtype=np.float64).reshape(len(part), -1)
                 score = x @ vectors.T
                 cell = (x[:, :half] @ books[0].T)[:, a] + (x[:, half:] @ books[1].T)[:, b]
-                score[cell < part["least"].to_numpy()[:, None] - 1e-12] = -np.inf
+                score[cell < np.array([q["least"] for q in part])[:, None] - 1e-12] = -np.inf
                 best = np.partition(score, -(k + 1), axis=1)[:, -(k + 1)] if score.shape[1] > k + 1 else np.full(len(part), -np.inf)
-                for entry, line, least in zip(part["entry"].tolist(), score, best, strict=True):
+                for q, line, least in zip(part, score, best.tolist(), strict=True):
+                    near = q["near"]
+                    if len(near) > k:
+                        least = max(least, -near[k][0])
                     found = [(-line[c], i) for c in np.flatnonzero((line >= least) & (line > -np.inf)) for i in ids[c]]
-                    out += [(entry, i, -s) for s, i in heapq.nsmallest(k + 1, found)]
-        return pd.DataFrame(out, columns=["entry", "vec_id", "score"]).astype({"entry": "int64", "vec_id": "int64", "score": "float64"})
+                    if found:
+                        q["near"] = heapq.nsmallest(k + 1, near + found)
 
-    by = ("chunk", "block")
-    found = visits.groupBy(*by).cogroup(there.groupBy(*by)).applyInPandas(rank, "entry long, vec_id long, score double")
+        def results():
+            rows = [(q["entry"], i, -s) for q in asked for s, i in q["near"]]
+            columns = zip(*rows) if rows else ([], [], [])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["entry", "vec_id", "score"])
+
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy() for i in range(3)], 1)
+            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if hi == lo:
+                    continue
+                key = tuple(keys[lo].tolist())
+                if ahead and (key != at or size >= CHUNK):
+                    meet()
+                    ahead, size = [], 0
+                if at and key[:2] != at[:2]:
+                    yield results()
+                    asked = []
+                at, part = key, batch.slice(lo, hi - lo)
+                if key[2] < 0:
+                    asked += [q | {"met": set(q["met"]), "near": []} for q in part.select(["x", "entry", "least", "met"]).to_pylist()]
+                else:
+                    ahead, size = [*ahead, part.select(["x", "a", "b", "ids"])], size + hi - lo
+        if ahead:
+            meet()
+        yield results()
+
+    by = ("span", "block")
+    both = asked.unionByName(there, allowMissingColumns=True).select("span", "block", "chunk", "x", "entry", "least", "met", "a", "b", "ids")
+    found = both.repartition(2 * tasks, *by).sortWithinPartitions(*by, "chunk").mapInArrow(rank, "entry long, vec_id long, score double")
     order = W.partitionBy("entry").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k + 1)
     pairs = ids.join(best, "entry").filter(F.col("vec_id") != F.col("query_id"))

@@ -299,6 +299,24 @@ def nearest(points, q, n):
     return sorted((i for i in range(len(points)) if i != q), key=lambda i: (-round(s[i], 9), i))[:n]
 
 
+def test_results_of_a_query_do_not_grow_with_the_index(spark, monkeypatch):
+    """A query makes results in a few parts of the index, however many chunks it visits."""
+    made, keep = {}, ann.materialize
+    monkeypatch.setattr(ann, "materialize", lambda df, label: made.setdefault(label, keep(df, label)))
+    points = np.random.default_rng(3).normal(size=(12_000, 6))
+    table = spark.createDataFrame(list(enumerate(points.tolist())), "vec_id long, embedding array<double>")
+    rows = ann.search(table, every=100, centroids=16, fit_rows=2_048).orderBy("query_id", "rank").collect()
+    assert len(rows) == 120 * 20 and made["ann-visits"].count() <= 120 * 8
+    hits = 0
+    for q in range(0, len(points), 100):
+        found = [r for r in rows if r.query_id == q]
+        near = points @ points[q]
+        near[q] = -np.inf
+        assert all(np.isclose(r.score, near[r.vec_id]) for r in found) and [-r.score for r in found] == sorted(-r.score for r in found)
+        hits += len({r.vec_id for r in found} & set(np.argsort(-near)[:20].tolist()))
+    assert hits >= 0.9 * len(rows)
+
+
 def test_nearest_neighbours(spark):
     """Copies, odd vectors, and a length of its own with fewer candidates than k."""
     draw = np.random.default_rng(1)
