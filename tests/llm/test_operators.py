@@ -302,6 +302,7 @@ def nearest(points, q, n):
 def test_results_of_a_query_do_not_grow_with_the_index(spark, monkeypatch):
     """A query makes results in a few parts of the index, however many chunks it visits."""
     made, keep = {}, ann.materialize
+    monkeypatch.setattr(ann, "CHUNK", 1_024)
     monkeypatch.setattr(ann, "materialize", lambda df, label: made.setdefault(label, keep(df, label)))
     points = np.random.default_rng(3).normal(size=(12_000, 6))
     table = spark.createDataFrame(list(enumerate(points.tolist())), "vec_id long, embedding array<double>")
