@@ -41,6 +41,21 @@ def packed(text: str | None, l: int) -> np.ndarray:
     return out
 
 
+def packed_all(texts: list[str | None], l: int) -> tuple[np.ndarray, np.ndarray]:
+    """The windows of all texts, one text after the other, and how many each has."""
+    size = np.array([len(s or "") for s in texts], np.int64)
+    code = np.frombuffer("".join(s or "" for s in texts).encode(), np.uint8).astype(np.int64) - 48
+    if len(code) and not 0 <= code.min() <= code.max() <= 3:
+        for s in texts:
+            packed(s, l)
+    n = np.maximum(size - l + 1, 0)
+    at = np.arange(n.sum()) + np.repeat(np.cumsum(size) - size - np.cumsum(n) + n, n)
+    out = np.zeros(len(at), np.int64)
+    for i in range(l):
+        out = out << 2 | code[at + i]
+    return out, n
+
+
 def weights(kernel: Kernel, n: int) -> np.ndarray:
     if not kernel.weighted:
         return np.ones(n)
@@ -96,10 +111,35 @@ def own(kernel: Kernel, p: np.ndarray) -> float:
     return float(wt @ against(kernel, p, *strands(kernel, p, wt))) if len(p) else 0.0
 
 
-def counted(kernel: Kernel, rows: list[np.ndarray]) -> np.ndarray:
+def _weights_all(kernel: Kernel, n: np.ndarray) -> np.ndarray | None:
+    """None where all are 1."""
+    return np.concatenate([weights(kernel, x) for x in n]) if kernel.weighted and len(n) else None
+
+
+@lru_cache
+def _places(l: int, mask: int) -> tuple[np.ndarray, int]:
+    """Each l-mer's place among the keys of the mask, and how many there are."""
+    p, fixed = np.arange(4**l), [i for i in range(l) if mask >> 2 * i & 3]
+    return sum(((p >> 2 * i & 3) << 2 * j for j, i in enumerate(fixed)), np.zeros_like(p)), 4 ** len(fixed)
+
+
+def owns(kernel: Kernel, p: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The self-kernels of sequences with these windows, counted by sequence and key at once."""
+    if kernel.l > DIRECT:
+        return np.array([own(kernel, x) for x in np.split(p, np.cumsum(n)[:-1])], float) if len(n) else np.zeros(0)
+    wt, row, q, out = _weights_all(kernel, n), np.repeat(np.arange(len(n)), n), reversed_lmers(p, kernel.l), np.zeros(len(n))
+    for mask, a in masks(kernel.h):
+        place, keys = _places(kernel.l, mask)
+        first = np.bincount(place[p] + row * keys, wt, len(n) * keys)
+        both = first + np.bincount(place[q] + row * keys, wt, len(n) * keys) if kernel.include_rc else first
+        out += a * (first * both).reshape(-1, keys).sum(1)
+    return out
+
+
+def counted(kernel: Kernel, p: np.ndarray, n: np.ndarray) -> np.ndarray:
     """A row per sequence, a column per l-mer."""
-    keys = np.concatenate([p + i * 4**kernel.l for i, p in enumerate(rows)])
-    return np.bincount(keys, np.concatenate([weights(kernel, len(p)) for p in rows]), len(rows) * 4**kernel.l).reshape(len(rows), -1)
+    keys = p + np.repeat(np.arange(len(n)) * 4**kernel.l, n)
+    return np.bincount(keys, _weights_all(kernel, n), len(n) * 4**kernel.l).reshape(len(n), -1).astype(float, copy=False)
 
 
 def summed(kernel: Kernel, x: np.ndarray) -> np.ndarray:
@@ -156,6 +196,18 @@ def _blocks(n: int, width: int):
     return ((at, min(at + step, n)) for at in range(0, n, step))
 
 
+def _parts(texts: list[str | None], width: int):
+    """Blocks of texts that come to at most BLOCK / 4 letters, or of a single longer one."""
+    for lo, hi in _blocks(len(texts), width):
+        size = 0
+        for i in range(lo, hi):
+            size += len(texts[i] or "")
+            if size > BLOCK // 4 and i > lo:
+                yield lo, i
+                lo, size = i, len(texts[i] or "")
+        yield lo, hi
+
+
 def _batch(columns: dict) -> pa.RecordBatch:
     arrays = [x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x if isinstance(x, pa.Array) else pa.array(x) for x in columns.values()]
     return pa.RecordBatch.from_arrays(arrays, names=list(columns))
@@ -169,9 +221,10 @@ def diagonal(seqs: DataFrame, kernel: Kernel) -> DataFrame:
     """id, k: each sequence's kernel with itself, where it has windows."""
 
     def make(ids, texts):
-        rows = [packed(s, kernel.l) for s in texts]
-        at = np.flatnonzero([len(p) > 0 for p in rows])
-        yield _batch({"id": ids.take(pa.array(at)), "k": np.array([own(kernel, rows[i]) for i in at], float)})
+        for lo, hi in _parts(texts, 4 ** min(kernel.l, DIRECT)):
+            p, n = packed_all(texts[lo:hi], kernel.l)
+            at = np.flatnonzero(n)
+            yield _batch({"id": ids.take(pa.array(at + lo)), "k": owns(kernel, p, n[at])})
 
     return _mapped(seqs, [_id(seqs), StructField("k", DoubleType())], make)
 
@@ -182,13 +235,13 @@ def pairwise(x: DataFrame, y: DataFrame, kernel: Kernel) -> DataFrame:
     held = Vectors(y, kernel)
 
     def make(ids, texts):
-        for lo, hi in _blocks(len(texts), max(4**kernel.l, 4 * len(held.ids))):
-            rows = [packed(s, kernel.l) for s in texts[lo:hi]]
-            k = counted(kernel, rows) @ held.table
+        for lo, hi in _parts(texts, max(4**kernel.l, 4 * len(held.ids))):
+            p, n = packed_all(texts[lo:hi], kernel.l)
+            k = counted(kernel, p, n) @ held.table
             i, j = np.nonzero(k)
             k = k[i, j]
             if kernel.normalize or kernel.rbf:
-                k = k / np.maximum(np.sqrt(np.array([own(kernel, p) for p in rows])[i] * held.own[j]), 1e-10)
+                k = k / np.maximum(np.sqrt(owns(kernel, p, n)[i] * held.own[j]), 1e-10)
             if kernel.rbf:
                 k = np.exp((k - 1) * kernel.gamma)
             yield _batch({"a_id": ids.take(pa.array(i + lo)), "b_id": held.ids.take(pa.array(j)), "k": k})
@@ -217,9 +270,9 @@ def score(model, seqs: DataFrame) -> DataFrame:
 
     def make(ids, texts):
         value = np.empty(len(texts))
-        for lo, hi in _blocks(len(texts), max(4**kernel.l, held.table.shape[1])):
-            rows = [packed(s, kernel.l) for s in texts[lo:hi]]
-            value[lo:hi] = _radial(kernel, held, counted(kernel, rows) @ held.table, np.array([own(kernel, p) for p in rows])) + bias
+        for lo, hi in _parts(texts, max(4**kernel.l, held.table.shape[1])):
+            p, n = packed_all(texts[lo:hi], kernel.l)
+            value[lo:hi] = _radial(kernel, held, counted(kernel, p, n) @ held.table, owns(kernel, p, n)) + bias
         value[[s is not None and len(s) < kernel.l for s in texts]] = np.nan
         yield _batch({"id": ids, "score": value})
 

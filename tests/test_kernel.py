@@ -4,6 +4,7 @@ import math
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +196,44 @@ def test_self_kernels_of_any_length(spark):
             assert np.isclose(local.own(k, p), by_masks, rtol=1e-7) and (len(s) > 40 or np.isclose(local.own(k, p), naive(s, s, k)))
     with pytest.raises(ValueError):
         local.packed("01-2", 2)
+
+
+@pytest.mark.parametrize("k", [Kernel(0, 6, 4, None), Kernel(2, 4, 2, 1), Kernel(4, 5, 3, 2, M=20, H=4.0), Kernel(1, 4, 2, None, include_rc=False), Kernel(0, 9, 7, 2)])
+def test_self_kernels_of_blocks(k):
+    digits = ["", None, "012", "0" * 30, "0123012303210", "33", "3210" * 300, "010203"]
+    p, n = local.packed_all(digits, k.l)
+    rows = [local.packed(s, k.l) for s in digits]
+    assert n.tolist() == [len(x) for x in rows] and p.tolist() == np.concatenate(rows).tolist()
+    assert np.allclose(local.owns(k, p, n), [local.own(k, x) for x in rows], rtol=1e-9)
+    if k.l <= local.DIRECT:
+        each = [np.bincount(x, local.weights(k, len(x)), 4**k.l) for x in rows]
+        assert np.array_equal(local.counted(k, p, n), each)
+    with pytest.raises(ValueError, match="invalid bases in sequence: 01-2"):
+        local.packed_all(["0123", "01-2"], 2)
+
+
+def test_blocks_are_bounded_by_letters(monkeypatch):
+    monkeypatch.setattr(local, "BLOCK", 400)
+    texts = ["0" * n for n in (10, 90, 1, 500, 0, 60, 50)] + [None]
+    parts = list(local._parts(texts, 100))
+    assert [i for lo, hi in parts for i in range(lo, hi)] == list(range(len(texts)))
+    assert all(hi - lo <= 4 and (hi - lo == 1 or sum(len(t or "") for t in texts[lo:hi]) <= 100) for lo, hi in parts)
+
+
+def test_scores_make_no_self_kernel_alone(spark, monkeypatch):
+    """A batch's self-kernels are made at once (one by one they took most of the time)."""
+
+    def alone(*_):
+        raise AssertionError
+
+    held = {}
+    monkeypatch.setattr(local, "_mapped", lambda seqs, fields, make: held.update(make=make))
+    sv = spark.createDataFrame([(0, "ACGTACGT", 1.0), (1, "GATTACA", -0.5)], "id int, seq string, coef double")
+    for k in (Kernel(0, 4, 2, None), Kernel(6, 4, 2, None, gamma=2.0)):
+        local.score(GkmModel(sv, k, 0.25), sv)
+        with monkeypatch.context() as m:
+            m.setattr(local, "own", alone)
+            out = pa.Table.from_batches(held["make"](pa.array([7, 8, 9]), ["01230123", "2033010", "012"])).to_pydict()
+        seqs = ["ACGTACGT", "GATTACA"]
+        want = [sum(c * normal(s, v, k) for v, c in zip(seqs, (1.0, -0.5))) + 0.25 for s in seqs]
+        assert out["id"] == [7, 8, 9] and np.allclose(out["score"][:2], want) and math.isnan(out["score"][2])
